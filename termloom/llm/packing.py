@@ -19,6 +19,7 @@ text are read.
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.staging import stage
+from termloom.llm.textblocks import blocks, located_words
 
 CAPACITY = 4096
 SHARD = 4096
@@ -39,11 +41,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid l
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, by way of remembered chunks.
+    """Ids of whole texts by way of remembered chunks.
 
     The vocabulary's rules drop white space and never reach across it, so a text's ids are those
-    of its chunks between ASCII white space, one after the other. A-Z is lower-cased ahead where
-    the tokenizer's own order of normalization can't notice: no combining marks and no special tokens.
+    of its chunks between ASCII white space, one after the other. Chunks are looked up by a 64-bit
+    hash of their bytes with A-Z lower-cased. Where the tokenizer's own order of normalization
+    could notice that (combining marks, special tokens), the whole text goes through it instead.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,25 +56,98 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
-            text = text.lower()
-        chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self._learn(chunks)
-            return b"".join(map(self.known.__getitem__, chunks))
-
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        #: where the ids of a part, and of a known chunk, are in ``flat``
+        self.part_first, self.part_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _append(self, ids: np.ndarray) -> int:
+        at = self.used
+        while at + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _learn_parts(self, fresh: list[bytes]) -> None:
+        """Words of letters only are one unit to the vocabulary's rule, so many go in one text."""
+        plain = [p for p in fresh if _WORD.match(p)]
+        sizes, ids = [], []
+        lists = [plain[k : k + 64] for k in range(0, len(plain), 64)]
+        for some, e in zip(lists, self.tokenizer.encode_batch([b" ".join(x).decode() for x in lists], add_special_tokens=False), strict=True):
+            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            if len(count) != len(some) or not count.all():
+                raise ValueError("the tokenizer's words are not those expected")
+            sizes.append(count)
+            ids.append(np.array(e.ids, "<u4"))
+        alone = [p for p in fresh if not _WORD.match(p)]
+        for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in alone], add_special_tokens=False):
+            sizes.append(np.array([len(e.ids)]))
+            ids.append(np.array(e.ids, "<u4"))
+        if not fresh:
+            return
+        size = np.concatenate(sizes)
+        at = self._append(np.concatenate(ids))
+        n = len(self.part_first)
+        self.part_first = np.concatenate([self.part_first, at + np.cumsum(size) - size])
+        self.part_size = np.concatenate([self.part_size, size])
+        self.parts.update(zip(plain + alone, range(n, n + len(fresh)), strict=True))
+
+    def _learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+        split = [_TAIL.match(c).groups() for c in chunks]
+        self._learn_parts(list(dict.fromkeys(p for pair in split for p in pair if p not in self.parts)))
+        part = np.array([self.parts[p] for pair in split for p in pair], np.int64)
+        size = self.part_size[part]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.part_first[part] - ends + size, size) + np.arange(ends[-1])]
+        n = len(self.first)
+        size = size.reshape(-1, 2).sum(1)
+        self.first = np.concatenate([self.first, self._append(ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+
+    def block(self, body: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of every text of a block."""
+        import pandas as pd
+
+        h, begin, starts, ends = located_words(body, at)
+        where, seen = pd.factorize(h)
+        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
+            self._forget()
+        number = [self.known.get(x, -1) for x in seen.tolist()]
+        if -1 in number:
+            miss = [k for k, x in enumerate(number) if x < 0]
+            there = np.zeros(len(seen), np.int64)
+            there[where[::-1]] = np.arange(len(h))[::-1]
+            raw = body.tobytes()
+            self._learn([int(seen[k]) for k in miss], [raw[starts[there[k]] : ends[there[k]]].lower() for k in miss])
+            number = [self.known[x] for x in seen.tolist()]
+        number = np.array(number, np.int64)[where] if len(h) else np.zeros(0, np.int64)
+        size = self.size[number]
+        before = np.zeros(len(h) + 1, np.int32)
+        np.cumsum(size, out=before[1:])
+        ids = self.flat[np.repeat(self.first[number].astype(np.int32) - before[:-1], size) + np.arange(before[-1], dtype=np.int32)]
+        odd = _ODD_BYTES[body]
+        for d in range(len(at) - 1):
+            if odd[at[d] : at[d + 1]].any():
+                text = body[at[d] : at[d + 1]].tobytes()
+                if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
+                    yield np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+                    continue
+            yield ids[before[begin[d]] : before[begin[d + 1]]]
+
+
+#: A word that ends in a letter or digit, and the plain punctuation behind it, are split by the
+#: vocabulary's own rule; other chunks stay whole.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
+_TAIL = re.compile(rb"(?s)(.*(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])(?=[.,;:!?]+\Z)|.*)(.*)\Z")
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[0xCC, 0xCD, ord("|")]] = True
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
@@ -84,24 +160,24 @@ def _tokenizer(path: str) -> ChunkTokenizer:
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Every document's pieces: at most ``capacity`` ids each, the last one may be shorter."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(tokenizer_path)
         for batch in batches:
-            rows = []
-            texts = batch.column("text").cast(pa.binary())
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = own.ids(text.as_py() or b"") + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    crc = zlib.crc32(part)
-                    rows.append((doc, p, at // 4, len(part) // 4, crc, (crc << 20 ^ at ^ (doc or 0) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF))
+            rows, docs = [], batch.column("doc_id").to_pylist()
+            for first, _, body, at in blocks(batch.column("text"), 3 << 20):
+                for doc, ids in zip(docs[first:], own.block(body, at), strict=False):
+                    data = np.concatenate([ids, end]).tobytes()
+                    for p, where in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[where : where + 4 * capacity]
+                        crc = zlib.crc32(part)
+                        rows.append((doc, p, where // 4, len(part) // 4, crc, (crc << 20 ^ where ^ (doc or 0) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 class Bins:

@@ -68,9 +68,15 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.n
 
 def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and where each text's words begin (one more entry than texts)."""
+    return located_words(body, at)[:2]
+
+
+def located_words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with the places in ``body`` where every word begins and ends."""
     n = len(body)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none
     low, gap = _LOWER[body], _GAP[body]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -88,7 +94,7 @@ def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at)
+    return hashes, np.searchsorted(starts, at), starts, ends
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
