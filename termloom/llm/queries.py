@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import language_id, line_dedup, packing
+from termloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item with at most a tenth of its characters edited."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 20 code points or more in 3 or more documents stay in the largest doc_id only."""
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
@@ -47,6 +52,11 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the three folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -61,7 +71,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_language_id": op7_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
