@@ -213,17 +213,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars:
 
     ``start`` and ``end`` are places in the document's text, ``places`` counts the spots.
     """
-    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [own.mapInArrow(_matching(block, rate), MATCHES) for block in _item_blocks(items, min_chars, block_chars)])
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item: a filter without a join."""
+    names = docs.columns
+    text = names.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    schema = plain.schema
+    for block in _item_blocks(items, min_chars, block_chars):
+        plain = plain.mapInArrow(_clean(block, rate, text), schema)
+    return plain.toDF(*names)
+
+
+def _item_blocks(items: DataFrame, min_chars: int, block_chars: int) -> Iterator:
+    """Broadcasts of (item_id, normalized text), each of about ``block_chars`` characters."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-total // block_chars) or 1
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
     for k in range(n_blocks):
-        block = [(r.item_id, t) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect() if len(t := normalized(r.text)) >= max(min_chars, 1)]
-        shared = spark.sparkContext.broadcast(sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-        found.append(own.mapInArrow(_matching(shared, rate), MATCHES))
-    return reduce(DataFrame.unionByName, found)
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()
+        block = [(r.item_id, t) for r in rows if len(t := normalized(r.text)) >= max(min_chars, 1)]
+        yield spark.sparkContext.broadcast(sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+
+
+def _clean(shared, rate: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column(text)], pa.bool_()))
+
+    return run
 
 
 def _matching(shared, rate: float):

@@ -43,11 +43,13 @@ from termloom.llm.textblocks import blocks, mix, shingles, words
 
 NUM, DEN = 80, 100
 #: Longest list that gives all its pairs at once, and pivots of a longer one.
-SHORT, PIVOTS = 48, 4
+SHORT, PIVOTS = 32, 4
 #: Largest boundary considered: C(20, 18) subsets and the like are still few.
 MOST_LIGHT = 20
 #: A shingle found in more than one in so many documents comes last.
 COMMON = 1000
+#: Part number of subset lists.
+SUBSET = -1
 #: Lists of common shingles are dealt into parts of about so many documents.
 PART = 20_000
 
@@ -69,11 +71,37 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(s[begin[k] : begin[k + 1]])
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): each document's sorted shingle hashes."""
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
+
+
+def _marked(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """A bit map of at most ``most_bits`` with the bit of every doc_id of ``ids`` set."""
+    bits = min(most_bits, 1 << max(16, (16 * ids.count()).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            where = np.unique(_bit(np.asarray(batch.column(0)), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((where >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (where & np.uint64(63))).view(np.int64))], ["word", "mask"])
+
+    got = ids.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[np.asarray(got.column("word"))] = np.asarray(got.column("mask")).astype(np.int64).view(np.uint64)
+    return out
+
+
+def shingle_sets(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(doc_id, shingles): the sorted shingle hashes of documents whose bit is set.
+
+    Marks spare the join of whole texts with ids; a few documents too many go with the later join.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
         for batch in batches:
+            ids = batch.column("doc_id")
+            bit = _bit(np.asarray(ids.fill_null(0)), 64 * len(spread.value))
+            batch = batch.filter(pa.array((spread.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
             ids = batch.column("doc_id")
             at, part, held = 0, [], 0
             for u in _sets(batch.column("text")):
@@ -194,56 +222,70 @@ def _subsets(reps: DataFrame, boundary: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.zeros(len(flat), np.int32)), pa.array(ids, pa.int64()), pa.array(size, pa.int64())], ["t", "p", "doc_id", "n"])
 
     light = reps.filter((F.col("n") > 0) & (F.col("n") <= boundary * DEN // NUM)).select("doc_id", "n", "prefix")
-    return light.mapInArrow(run, "t long, p int, doc_id long, n long").select("t", F.lit(0).alias("s"), "p", "doc_id", "n")
+    return light.mapInArrow(run, "t long, p int, doc_id long, n long").select("t", F.lit(SUBSET).alias("s"), "p", "doc_id", "n")
+
+
+def common_in_prefixes(a_n, b_n):
+    """Shingles that the prefixes of linked sets of these sizes have in common at least.
+
+    At most ``n - overlap`` shingles of a set are not common, so that is how far in front the j-th
+    common one is, plus j - 1: the first of them are inside both prefixes.
+    """
+    top = np.maximum(a_n, b_n)
+    return -(-NUM * (a_n + b_n) // (NUM + DEN)) - -(-NUM * top // DEN) + 1
 
 
 def _allowed(a_n, b_n, a_p, b_p):
-    """Size and position leave room for the overlap that a link needs."""
-    need = -(-NUM * (a_n + b_n) // (NUM + DEN))
+    """Sizes can link, and this can be one of the shingles that ``common_in_prefixes`` counts."""
+    need = -(-NUM * (a_n + b_n) // (NUM + DEN)) - common_in_prefixes(a_n, b_n) + 1
     rest = np.minimum(a_n - a_p, b_n - b_p)
     return (np.minimum(a_n, b_n) * DEN >= np.maximum(a_n, b_n) * NUM) & (rest >= need)
 
 
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted list entries to candidate pairs (a < b); entries of long lists also come back whole."""
-
-    def out(a, b, t, p, doc, n):
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        if len(lo):
-            both = np.unique(np.stack([lo, hi], 1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            lo, hi = both[:, 0], both[:, 1]
-        size, extra = len(lo), len(doc)
-        none = np.zeros(size, np.int64)
+    """Sorted list entries to candidate pairs (a < b); entries of long lists also come back whole.
+
+    A pair comes with its sizes, the number of lists that gave it, and 1 if one of them was long, a
+    part, or of subsets, so that the number says nothing. A list in parts counts as long.
+    """
+
+    def out(a, b, an, bn, open_, t, p, doc, n):
+        swap = a > b
+        rows = np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, bn, an), np.where(swap, an, bn)], 1)
+        rows = np.concatenate([rows, open_[:, None]], 1)[a != b]
+        rows, times = np.unique(rows, axis=0, return_counts=True)
+        size, extra = len(rows), len(doc)
+        none, is_pair = np.zeros(size, np.int64), np.arange(size + extra) < size
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([lo, doc])), pa.array(np.concatenate([hi, doc])),
-                pa.array(np.concatenate([none, t]), mask=np.arange(size + extra) < size),
-                pa.array(np.concatenate([none, n])), pa.array(np.concatenate([none, p])),
+                pa.array(np.concatenate([rows[:, 0], doc])), pa.array(np.concatenate([rows[:, 1], doc])),
+                pa.array(np.concatenate([rows[:, 2], n])), pa.array(np.concatenate([rows[:, 3], n])),
+                pa.array(np.concatenate([times, np.zeros(extra, np.int64)])), pa.array(np.concatenate([rows[:, 4], np.zeros(extra, np.int64)])),
+                pa.array(np.concatenate([none, t]), mask=is_pair), pa.array(np.concatenate([none, p]), mask=is_pair),
             ],
-            ["a", "b", "t", "n", "p"],
+            ["a", "b", "an", "bn", "times", "open", "t", "p"],
         )
 
     def work(t, p, doc, n, part):
         edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
         length = np.diff(np.r_[edge, len(t)])
-        pairs, longer = [], []
+        pairs, longer = [], [np.zeros(0, np.int64)]
         for size in np.unique(length[length > 1]):
             starts = edge[length == size]
             if size <= SHORT:
                 i, j = np.triu_indices(int(size), 1)
             else:
-                pivot = np.arange(PIVOTS)
-                i, j = np.repeat(pivot, size), np.tile(np.arange(size), PIVOTS)
+                i, j = np.repeat(np.arange(PIVOTS), size), np.tile(np.arange(size), PIVOTS)
                 longer.append((starts[:, None] + np.arange(size)).ravel())
-            for some in np.array_split(starts, max(1, len(starts) * len(i) // 2_000_000)):
+            for some in np.array_split(starts, max(1, len(starts) * len(i) // 1_000_000)):
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                ok = _allowed(n[x], n[y], p[x], p[y])
-                pairs.append((doc[x[ok]], doc[y[ok]]))
-        a = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in pairs]) if pairs else np.zeros(0, np.int64)
-        at = np.concatenate(longer) if longer else np.zeros(0, np.int64)
-        return out(a, b, t[at], p[at], doc[at], n[at])
+                ok = _allowed(n[x], n[y], p[x], p[y]) | (part[x] == SUBSET)
+                x, y = x[ok], y[ok]
+                pairs.append((doc[x], doc[y], n[x], n[y], np.where((size > SHORT) | (part[x] != 0), 1, 0)))
+        at = np.concatenate([np.concatenate(longer), np.flatnonzero(part > 0)])
+        at = np.unique(at[part[at] != SUBSET])
+        cols = [np.concatenate([q[k] for q in pairs]) if pairs else np.zeros(0, np.int64) for k in range(5)]
+        return out(*cols, t[at], p[at], doc[at], n[at])
 
     kept = None  # entries of the list that may go on in the next batch
     for batch in batches:
@@ -262,7 +304,7 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(*kept)
 
 
-_CANDIDATE = "a long, b long, t long, n long, p long"
+_CANDIDATE = "a long, b long, an long, bn long, times long, open long, t long, p long"
 
 
 def _scan(entries: DataFrame) -> DataFrame:
@@ -280,40 +322,42 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sets of the documents in ``pairs`` only, computed again from their texts."""
+    """Sets of the documents in ``pairs``, computed again from their texts."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return shingle_sets(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return shingle_sets(docs.select("doc_id", "text"), _marked(needed))
 
 
-def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links that are still missing between classes that meet in a long list; returns all links."""
-    turn = 0
-    while True:
-        classes = stage(connected_components(links), "classes").withColumnRenamed("node", "doc_id").withColumnRenamed("component_id", "cls")
-        members = entries.join(classes, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id"))
+def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int = 3) -> DataFrame:
+    """All links: those given, and those still missing between classes that meet in long lists.
+
+    ``entries`` are (t, doc_id, n, f, ts): ts are a document's shingles with long lists in the order
+    of its prefix, and f is where they begin there. Pairs that met in no short list have their first
+    common shingle there or later, so at most n - f shingles in common; they are looked at in the
+    list of that first common shingle only.
+    """
+    for turn in range(turns + 1):
+        classes = stage(connected_components(links), "classes").select(F.col("node").alias("doc_id"), F.col("component_id").alias("cls"))
+        members = stage(entries.join(classes, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id")), "members")
         per = members.groupBy("t", "cls").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("t").agg(F.sum("m").alias("l"), F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("most"), F.count("*").alias("k")).filter("k > 1")
-        mixed = stage(mixed, "mixed")
-        sums = mixed.agg(F.sum("l").alias("l"), F.sum(F.expr("double(l - most) * l")).alias("pairs")).first()
-        if not sums.l:
-            return links
-        within = members.join(mixed, "t")
-        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("p").alias("xp"), F.col("cls").alias("xc"), "main")
-        y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("p").alias("yp"), F.col("cls").alias("yc"))
-        whole = sums.pairs <= 64 * sums.l or turn >= 8
-        if whole:
-            x = x.filter("xc <> main")
-        else:  # a few members of each class of the list, others each turn
-            few = within.groupBy("t", "cls").agg(F.min_by(F.struct("doc_id", "n", "p"), F.xxhash64("doc_id", F.lit(turn))).alias("x"))
-            few = few.join(mixed.select("t", "main"), "t").filter("cls = main")
-            x = few.select("t", F.col("x.doc_id").alias("xd"), F.col("x.n").alias("xn"), F.col("x.p").alias("xp"), F.col("cls").alias("xc"), "main")
-        met = x.drop("main").join(y, "t").filter("xc <> yc AND least(xn, yn) * 100 >= greatest(xn, yn) * 80").filter("least(xn - xp, yn - yp) * 180 >= (xn + yn) * 80")
-        pairs = stage(met.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct(), "cross")
-        more = stage(_verified(pairs, _sets_of(docs, pairs)), "links")
-        links = links.unionByName(more)
-        if whole:
-            return links
-        turn += 1
+        mixed = per.groupBy("t").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("m"), F.count("*").alias("k")).filter("k > 1").select("t", "main", "m")
+        within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("ts"))
+        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), "main", "m")
+        y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"))
+
+        def met(x: DataFrame, once: str) -> DataFrame:
+            room = f"least(xn - xf, yn - yf) >= ceil((xn + yn) * {NUM} / {NUM + DEN})"
+            sizes = f"least(xn, yn) * {DEN} >= greatest(xn, yn) * {NUM}"
+            return x.select("t", "xd", "xn", "xf", "xc", "xt").join(y, "t").filter(f"xc <> yc AND {sizes} AND {room} AND {once}").select("xd", "yd")  # noqa: B023
+
+        others = met(x.filter("xc <> main"), "NOT arrays_overlap(xt, yt)")
+        few = turn == turns or others.count() <= 2 * members.count() + 1000
+        if not few:  # some members of each list's main class, others in each list and turn
+            others = met(x.filter("xc = main").filter(F.pmod(F.xxhash64("xd", "t", F.lit(turn)), F.col("m")) < PIVOTS), "true")
+        pairs = stage(others.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct(), "cross")
+        links = links.unionByName(stage(_verified(pairs, _sets_of(docs, pairs)), "links"))
+        if few:
+            break
+    return links
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -325,22 +369,32 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     parts = -(-sketches.count() // PART)
     usable = sketches.filter("n > 0 AND doc_id IS NOT NULL")
     same = ["sig1", "sig2", "n"]
-    reps = stage(usable.groupBy(*same).agg(F.min_by(F.struct("doc_id", "early", "prefix"), "doc_id").alias("r")).select(*same, "r.doc_id", "r.early", "r.prefix"), "reps")
+    reps = usable.groupBy(*same).agg(F.min_by(F.struct("doc_id", "early", "prefix"), "doc_id").alias("r")).select("n", "r.doc_id", "r.early", "r.prefix")
     boundary = choose_boundary(reps)
 
-    part = F.expr(f"if(p >= early, pmod(xxhash64(doc_id, 1), {max(parts, 1)}), 0)").cast("int").alias("s")
+    dealt = f"1 + pmod(xxhash64(doc_id, 1), {parts})" if parts > 1 else "0"
+    part = F.expr(f"if(p >= early, {dealt}, 0)").cast("int").alias("s")
     lists = reps.filter(F.col("n") > boundary).select(F.posexplode("prefix").alias("p", "t"), "doc_id", "n", "early").filter(F.expr(f"p <= n - ceil(n * {NUM} / {DEN})")).select("t", part, "p", "doc_id", "n")
     if boundary:
         lists = lists.unionByName(_subsets(reps, boundary))
     found = stage(_scan(lists), "found")
-    pairs = stage(found.filter("t IS NULL").select("a", "b").distinct(), "pairs")
+    met = found.filter("t IS NULL").groupBy("a", "b").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.sum("times").alias("times"), F.max("open").alias("open"))
+    entries = found.filter("t IS NOT NULL").select("t", F.col("a").alias("doc_id"), F.col("an").alias("n"), "p")
+    of_doc = entries.groupBy("doc_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda e: e["t"])).alias("ts"), F.min("p").alias("f"))
+    of_doc = stage(of_doc.withColumn("l", F.size("ts")), "long")
+    # what lists give must be often enough in both prefixes; long lists may hold more of a pair
+    least = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN)) - F.ceil(F.greatest("an", "bn") * NUM / DEN) + 1
+    for d in ("a", "b"):
+        met = met.join(of_doc.select(F.col("doc_id").alias(d), F.col("l").alias(f"{d}l")), d, "left")
+    unseen = F.coalesce(F.least(F.coalesce("al", F.lit(0)), F.coalesce("bl", F.lit(0))), F.lit(0))
+    pairs = stage(met.filter((F.col("open") == 1) | (F.col("times") + unseen >= least)).select("a", "b"), "pairs")
     links = stage(_verified(pairs, _sets_of(docs, pairs)), "links")
-    long_lists = found.filter("t IS NOT NULL").select("t", F.col("a").alias("doc_id"), "n", "p")
-    links = _closed(long_lists, links, docs)
+    links = _closed(entries.drop("p").join(of_doc.select("doc_id", "f", "ts"), "doc_id"), links, docs)
     # rows of one doc_id with different sets belong together as well
-    joined = usable.join(reps.select(*same, F.col("doc_id").alias("rep")), same).select("doc_id", "rep")
+    firsts = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    joined = usable.join(firsts, same).select("doc_id", "rep")
     several = joined.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     classes = connected_components(links.unionByName(several)).select(F.col("node").alias("rep"), "component_id")
-    of_set = reps.select(*same, F.col("doc_id").alias("rep")).join(classes, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("cls"))
+    of_set = firsts.join(classes, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("cls"))
     out = sketches.select("doc_id", *same).join(of_set, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("component_id"))

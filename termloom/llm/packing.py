@@ -35,7 +35,7 @@ CAPACITY = 4096
 SHARD = 4096
 ISLANDS = 2
 #: Entries that a worker remembers of the words it has tokenized.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
         own = _tokenizer(tokenizer_path)
         for batch in batches:
             rows, docs = [], batch.column("doc_id").to_pylist()
-            for first, _, body, at in blocks(batch.column("text"), 3 << 20):
+            for first, _, body, at in blocks(batch.column("text"), 2 << 20):
                 for doc, ids in zip(docs[first:], own.block(body, at), strict=False):
                     data = np.concatenate([ids, end]).tobytes()
                     for p, where in enumerate(range(0, len(data), 4 * capacity)):

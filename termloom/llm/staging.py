@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/termloom-{name}-{fresh()}"
     _written.append(path)
     return path
 
@@ -47,10 +47,34 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
+def adopt(path: str) -> None:
+    """Delete ``path`` too at the end."""
+    _written.append(path)
+
+
+def mark() -> int:
+    """How many tables are staged so far, for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables staged between two marks; their places in the list stay."""
+    for k in range(first, min(last, len(_written))):
+        if _written[k]:
+            delete(spark, _written[k])
+            _written[k] = ""
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table staged so far. Only for callers whose results are written elsewhere."""
     while _written:
-        delete(spark, _written.pop())
+        path = _written.pop()
+        if path:
+            delete(spark, path)
 
 
 @atexit.register

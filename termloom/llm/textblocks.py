@@ -71,13 +71,16 @@ def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return located_words(body, at)[:2]
 
 
-def located_words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``words``, with the places in ``body`` where every word begins and ends."""
+def located_words(body: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with the places in ``body`` where every word begins and ends.
+
+    Without ``fold`` the hashes tell A-Z from a-z.
+    """
     n = len(body)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none
-    low, gap = _LOWER[body], _GAP[body]
+    low, gap = _LOWER[body] if fold else body, _GAP[body]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     before = np.empty(n, bool)
