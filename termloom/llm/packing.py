@@ -19,7 +19,6 @@ text are read.
 from __future__ import annotations
 
 import random
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.staging import stage
-from termloom.llm.textblocks import blocks, located_words
+from termloom.llm.textblocks import blocks, lean, located_words
 
 CAPACITY = 4096
 SHARD = 4096
 ISLANDS = 2
 #: Entries that a worker remembers of the words it has tokenized.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
@@ -56,82 +55,80 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: ids of the punctuation marks that, behind a letter or digit, are words of their own
+        self.tail_ids = np.zeros(256, np.int64)
+        for b in np.flatnonzero(_TAIL):
+            (self.tail_ids[b],) = self.tokenizer.encode(chr(b), add_special_tokens=False).ids
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.parts: dict[bytes, int] = {b"": 0}
-        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
-        #: where the ids of a part, and of a known chunk, are in ``flat``
-        self.part_first, self.part_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _append(self, ids: np.ndarray) -> int:
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Forget all chunks, or all but those of ``keep``."""
+        keep = np.zeros(0, np.int64) if keep is None else keep
+        if len(keep):
+            self.hashes, first, self.size = self.hashes[keep], self.first[keep], self.size[keep]
+            ends = np.cumsum(self.size)
+            self.flat = self.flat[np.repeat(first - ends + self.size, self.size) + np.arange(ends[-1])]
+            self.first, self.used = ends - self.size, int(ends[-1])
+        else:
+            self.hashes, self.flat, self.used = np.zeros(0, np.uint64), np.zeros(1 << 16, "<u4"), 0
+            self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(len(keep), np.int32)
+        self.known: dict[int, int] = dict(zip(self.hashes.tolist(), range(len(keep)), strict=True))
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        """Many chunks go in one text with a space between; offsets tell whose an id is."""
+        ids, sizes = [], []
+        lists = [chunks[k : k + 64] for k in range(0, len(chunks), 64)]
+        for some, e in zip(lists, self.tokenizer.encode_batch([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            begin = np.cumsum([0, *(len(c) + 1 for c in some)])
+            offsets = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            sizes.append(np.bincount(np.searchsorted(begin, offsets, "right") - 1, minlength=len(some)))
+            ids.append(np.array(e.ids, "<u4"))
+        size, new = np.concatenate(sizes), np.concatenate(ids)
         at = self.used
-        while at + len(ids) > len(self.flat):
+        while at + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at : at + len(ids)] = ids
-        self.used += len(ids)
-        return at
-
-    def _learn_parts(self, fresh: list[bytes]) -> None:
-        """Words of letters only are one unit to the vocabulary's rule, so many go in one text."""
-        plain = [p for p in fresh if _WORD.match(p)]
-        sizes, ids = [], []
-        lists = [plain[k : k + 64] for k in range(0, len(plain), 64)]
-        for some, e in zip(lists, self.tokenizer.encode_batch([b" ".join(x).decode() for x in lists], add_special_tokens=False), strict=True):
-            count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
-            if len(count) != len(some) or not count.all():
-                raise ValueError("the tokenizer's words are not those expected")
-            sizes.append(count)
-            ids.append(np.array(e.ids, "<u4"))
-        alone = [p for p in fresh if not _WORD.match(p)]
-        for e in self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in alone], add_special_tokens=False):
-            sizes.append(np.array([len(e.ids)]))
-            ids.append(np.array(e.ids, "<u4"))
-        if not fresh:
-            return
-        size = np.concatenate(sizes)
-        at = self._append(np.concatenate(ids))
-        n = len(self.part_first)
-        self.part_first = np.concatenate([self.part_first, at + np.cumsum(size) - size])
-        self.part_size = np.concatenate([self.part_size, size])
-        self.parts.update(zip(plain + alone, range(n, n + len(fresh)), strict=True))
-
-    def _learn(self, hashes: list[int], chunks: list[bytes]) -> None:
-        split = [_TAIL.match(c).groups() for c in chunks]
-        self._learn_parts(list(dict.fromkeys(p for pair in split for p in pair if p not in self.parts)))
-        part = np.array([self.parts[p] for pair in split for p in pair], np.int64)
-        size = self.part_size[part]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.part_first[part] - ends + size, size) + np.arange(ends[-1])]
+        self.flat[at : at + len(new)] = new
+        self.used += len(new)
         n = len(self.first)
-        size = size.reshape(-1, 2).sum(1)
-        self.first = np.concatenate([self.first, self._append(ids) + np.cumsum(size) - size])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.first = np.concatenate([self.first, at + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.met = np.concatenate([self.met, np.zeros(len(size), np.int32)])
+        self.known.update(zip(hashes.tolist(), range(n, n + len(hashes)), strict=True))
 
     def block(self, body: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of every text of a block."""
         import pandas as pd
 
-        h, begin, starts, ends = located_words(body, at)
+        h, begin, starts, ends = located_words(body, at, tails=_TAIL)
         where, seen = pd.factorize(h)
-        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self._forget()
-        number = [self.known.get(x, -1) for x in seen.tolist()]
-        if -1 in number:
-            miss = [k for k, x in enumerate(number) if x < 0]
+        if len(self.known) > REMEMBERED:  # what was met in one block only goes
+            often = np.flatnonzero(self.met > 1)
+            self._forget(often if len(often) < REMEMBERED // 2 else None)
+        number = np.array([self.known.get(x, -1) for x in seen.tolist()], np.int64)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
             there = np.zeros(len(seen), np.int64)
             there[where[::-1]] = np.arange(len(h))[::-1]
-            raw = body.tobytes()
-            self._learn([int(seen[k]) for k in miss], [raw[starts[there[k]] : ends[there[k]]].lower() for k in miss])
-            number = [self.known[x] for x in seen.tolist()]
-        number = np.array(number, np.int64)[where] if len(h) else np.zeros(0, np.int64)
-        size = self.size[number]
+            raw, of = body.tobytes(), there[miss]
+            n = len(self.first)
+            self._learn(seen[miss], [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)])
+            number[miss] = np.arange(n, n + len(miss))
+        self.met[number] += 1
+        number = number[where] if len(h) else np.zeros(0, np.int64)
+        # a tail that was split off is one id more
+        last = np.zeros(len(h), np.int64)
+        inside = ends < len(body)
+        last[inside] = self.tail_ids[body[ends[inside]]]
+        last[np.isin(ends, at[1:], assume_unique=False)] = 0
+        size = self.size[number] + (last > 0)
         before = np.zeros(len(h) + 1, np.int32)
         np.cumsum(size, out=before[1:])
-        ids = self.flat[np.repeat(self.first[number].astype(np.int32) - before[:-1], size) + np.arange(before[-1], dtype=np.int32)]
+        index = np.repeat(self.first[number].astype(np.int32) - before[:-1], size) + np.arange(before[-1], dtype=np.int32)
+        ids = self.flat[np.minimum(index, len(self.flat) - 1)]
+        tailed = last > 0
+        ids[before[1:][tailed] - 1] = last[tailed]
         odd = _ODD_BYTES[body]
         for d in range(len(at) - 1):
             if odd[at[d] : at[d + 1]].any():
@@ -142,10 +139,8 @@ class ChunkTokenizer:
             yield ids[before[begin[d]] : before[begin[d + 1]]]
 
 
-#: A word that ends in a letter or digit, and the plain punctuation behind it, are split by the
-#: vocabulary's own rule; other chunks stay whole.
-_WORD = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+\Z")
-_TAIL = re.compile(rb"(?s)(.*(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])(?=[.,;:!?]+\Z)|.*)(.*)\Z")
+_TAIL = np.zeros(256, bool)
+_TAIL[[ord(c) for c in ".,;:!?"]] = True
 _ODD_BYTES = np.zeros(256, bool)
 _ODD_BYTES[[0xCC, 0xCD, ord("|")]] = True
 
@@ -177,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECES)
 
 
 class Bins:

@@ -21,6 +21,9 @@ _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,10 +74,11 @@ def words(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return located_words(body, at)[:2]
 
 
-def located_words(body: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def located_words(body: np.ndarray, at: np.ndarray, fold: bool = True, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``words``, with the places in ``body`` where every word begins and ends.
 
-    Without ``fold`` the hashes tell A-Z from a-z.
+    Without ``fold`` the hashes tell A-Z from a-z. ``tails`` marks bytes that, as the last of a word
+    behind an ASCII letter or digit, are no part of it.
     """
     n = len(body)
     if n == 0:
@@ -93,11 +97,14 @@ def located_words(body: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[
     after |= edge[1:]
     starts = np.flatnonzero(~gap & before)
     ends = np.flatnonzero(~gap & after) + 1
+    first = np.searchsorted(starts, at)
+    if tails is not None:
+        ends -= tails[body[ends - 1]] & (ends - starts > 1) & _PLAIN[body[np.maximum(ends - 2, 0)]]
     up, down = _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at), starts, ends
+    return hashes, first, starts, ends
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -130,3 +137,24 @@ def _chain(h: int, x: int) -> np.uint64:
     h = ((h ^ (h >> 30)) * int(_M1)) & 0xFFFFFFFFFFFFFFFF
     h = ((h ^ (h >> 27)) * int(_M2)) & 0xFFFFFFFFFFFFFFFF
     return np.uint64(h ^ (h >> 31))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are kept, and the next task's arrays differ."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function for ``mapInArrow`` that gives its memory back when its partition is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
