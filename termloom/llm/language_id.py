@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.llm.staging import stage
-from termloom.llm.textblocks import blocks, mix
+from termloom.llm.textblocks import blocks, lean, mix
 
 HASHES = 3
 MAX_LANGS = 256
@@ -152,7 +152,7 @@ class LanguageModel:
 
 def learn(labelled: DataFrame, min_count: int = 3, share: float = 0.25, max_rows: int = 1 << 20) -> LanguageModel:
     """Fit on every row of ``labelled`` (text, lang) whose lang is not null."""
-    counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = [r.lang for r in totals.select("lang").orderBy("lang").limit(MAX_LANGS + 1).collect()]
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
             langs, score = shared.value.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*names, "tl_lang", "tl_score")
+    return plain.mapInArrow(lean(run), schema).toDF(*names, "tl_lang", "tl_score")
 
 
 def held_out(fold: int = 2, folds: int = 4):
