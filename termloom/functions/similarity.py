@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -48,7 +49,7 @@ def semantic_score(emb: Column, lex: Column, over: Column, cont: Column, seq: Co
     return clamp(blend - F.when(cross_domain & (emb < 0.76), F.lit(0.02)).otherwise(F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two strings."""
     from difflib import SequenceMatcher

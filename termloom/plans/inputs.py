@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ class Rows:
         self.schema, self.rows = schema, rows
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        names = [c.split() for c in self.schema.split(", ")]
+        return spark.createDataFrame(pa.table({n: pa.array([r[k] for r in self.rows], kinds[t]) for k, (n, t) in enumerate(names)}))
 
     @property
     def sql(self) -> str:
