@@ -13,9 +13,11 @@ from termloom.operators import domains as D
 from termloom.operators import evaluation as E
 from termloom.operators import neighbours as N
 from termloom.operators import relations as R
+from termloom.operators import replies as P
 from termloom.operators import vocabulary as V
 from termloom.plans import inputs as I
 from termloom.sources import corpus as C
+from termloom.sources import sinks as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -693,3 +695,64 @@ def check_signatures(spark, sf_dir):
 @query(f"SELECT seq FROM {I.RELATIONS.sql} WHERE relation = 'subtype' AND len(list_filter({tokens_sql('measure1', False)}, lambda t: NOT list_contains({tokens_sql('measure2', False)}, t))) > 0 AND len(list_filter({tokens_sql('measure2', False)}, lambda t: NOT list_contains({tokens_sql('measure1', False)}, t))) > 0")
 def check_containment(spark, sf_dir):
     return E.containment_violations(I.RELATIONS.frame(spark)).select("seq")
+
+
+# ---- replies, sinks and diagnostics ----
+
+_DOMAIN_REPLIES = I.Rows(
+    "request_id string, reply string",
+    [("r1", '{"domain": "energy", "confidence": 0.8}'), ("r2", 'text {"domain": "none", "confidence": 0.8}'), ("r3", '{"domain": "energy", "confidence": "x"}'), ("r4", '{"domain": "transport", "confidence": 1}'), ("r5", '{"domain": "energy", "confidence": 1.2}'), ("r6", "[]")],
+)
+
+
+@query("SELECT * FROM (VALUES ('r1', 'energy', 0.8::DOUBLE), ('r4', 'transport', 1.0::DOUBLE)) AS v(request_id, domain, confidence)")
+def domain_reply_validate(spark, sf_dir):
+    return P.domain_replies(_DOMAIN_REPLIES.frame(spark), I.LEXICON.frame(spark).select("domain").distinct())
+
+
+@query("""SELECT DISTINCT event_type, CASE WHEN event_type LIKE '%c%' THEN 'daily_limit' WHEN event_type LIKE '%v%' THEN 'retry' ELSE 'unknown' END AS error FROM events""")
+def error_classes(spark, sf_dir):
+    said = F.when(F.col("event_type").contains("c"), "Limit PER DAY").when(F.col("event_type").contains("v"), "429 Too many requests").otherwise("broken")
+    return I.table(spark, sf_dir, "events").select("event_type", P.error_class(said).alias("error")).distinct()
+
+
+@query(f"SELECT tab, string_agg(dimension || '=' || vs, ';' ORDER BY dimension) AS dimensions FROM (SELECT tab, dimension, string_agg(value, '|' ORDER BY value) AS vs FROM {VALUES_SQL} GROUP BY tab, dimension) GROUP BY tab")
+def nested_values(spark, sf_dir):
+    entries = F.transform(F.map_entries("dimensions"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return K.nested_values(values(spark, sf_dir)).select(F.col("table").alias("tab"), F.array_join(entries, ";").alias("dimensions"))
+
+
+@query(f"SELECT tab, count(DISTINCT dimension) AS n_dimensions, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM {VALUES_SQL} GROUP BY tab")
+def cell_statistics(spark, sf_dir):
+    v = values(spark, sf_dir).withColumnRenamed("table", "tab")
+    return v.groupBy("tab").agg(F.countDistinct("dimension").alias("n_dimensions"), F.count("*").alias("n_values"), F.countDistinct("value").alias("n_distinct"))
+
+
+_SECOND_SQL = "(SELECT l.quality::VARCHAR AS gold, CASE WHEN l.doc_id % 3 = 0 THEN l.toxic::VARCHAR END AS gold2, l.toxic::VARCHAR AS pred, CASE WHEN l.doc_id % 2 = 0 THEN l.quality::VARCHAR END AS pred2 FROM labels l)"
+
+
+@query(f"""SELECT count(*) AS n, count(pred2) AS n_secondary, count(gold2) AS n_gold_secondary, count(*) FILTER (pred2 = gold2) AS n_exact, count(*) FILTER (pred <> gold AND pred2 = gold) AS n_recovered,
+ round(count(pred2) / count(*)::DOUBLE, 4) AS rate FROM {_SECOND_SQL}""")
+def secondary_diagnostics(spark, sf_dir):
+    rows = I.table(spark, sf_dir, "labels")
+    q, t = F.col("quality").cast("string"), F.col("toxic").cast("string")
+    return E.secondary_diagnostics(rows.select(q.alias("gold"), F.when(F.col("doc_id") % 3 == 0, t).alias("gold_secondary"), t.alias("pred"), F.when(F.col("doc_id") % 2 == 0, q).alias("pred_secondary")))
+
+
+@query("SELECT count(*) FILTER (quality = 1) AS agree, count(*) FILTER (quality = 0) AS disagree, round(avg(quality), 4) AS agreement FROM labels")
+def judge_agreement(spark, sf_dir):
+    return E.agreement(I.table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "agree").when(F.col("quality") == 0, "disagree").alias("verdict")))
+
+
+@query("SELECT h.table_name, list_aggregate(list_sort(list(DISTINCT h.header)), 'string_agg', '|') AS intervals FROM (SELECT tab AS table_name, trim(header) AS header FROM " + I.HEADERS.sql + f" WHERE {_TIME_SQL}) h GROUP BY h.table_name")
+def time_headers(spark, sf_dir):
+    found = V.time_headers(I.HEADERS.frame(spark).withColumnRenamed("tab", "table"))
+    return found.select(F.col("table").alias("table_name"), F.array_join("intervals", "|").alias("intervals"))
+
+
+@query("SELECT DISTINCT 'b' || (k // 40) AS batch, true AS complete FROM (SELECT row_number() OVER () - 1 AS k FROM " + I.MEASURES_SQL + ")")
+def batch_prompts(spark, sf_dir):
+    m = I.measures(spark, sf_dir)
+    numbered = R.batches(m.select(F.col("id").alias("a"), F.col("measure").alias("b"))).select("batch", "pair_no", F.col("b").alias("measure1"), F.col("b").alias("measure2"))
+    made = P.batch_prompts(numbered, R.RELATIONS)
+    return made.select(F.concat(F.lit("b"), F.col("batch").cast("string")).alias("batch"), F.col("prompt").contains("\n1. A: ").alias("complete"))
