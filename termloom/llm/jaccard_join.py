@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.components import connected_components
 from termloom.llm.staging import stage
-from termloom.llm.textblocks import blocks, mix, shingles, words
+from termloom.llm.textblocks import blocks, lean, mix, shingles, words
 
 NUM, DEN = 80, 100
 #: Longest list that gives all its pairs at once, and pivots of a longer one.
@@ -84,7 +84,7 @@ def _marked(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
             where = np.unique(_bit(np.asarray(batch.column(0)), bits))
             yield pa.RecordBatch.from_arrays([pa.array((where >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (where & np.uint64(63))).view(np.int64))], ["word", "mask"])
 
-    got = ids.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    got = ids.mapInArrow(lean(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[np.asarray(got.column("word"))] = np.asarray(got.column("mask")).astype(np.int64).view(np.uint64)
     return out
@@ -113,7 +113,7 @@ def shingle_sets(docs: DataFrame, marks: np.ndarray) -> DataFrame:
             if part:
                 yield _listed(ids.slice(at, len(part)), part, "shingles")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, shingles array<long>")
 
 
 def _listed(ids: pa.Array, parts: list[np.ndarray], name: str) -> pa.RecordBatch:
@@ -132,15 +132,21 @@ def _common(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            parts = list(_sets(batch.column("text")))
+            # counts by the hash's last bits first, so that few shingles have to be told apart
+            parts, rough = [], np.zeros(1 << 22, np.int32)
+            for s in _sets(batch.column("text")):
+                rough[(s & np.uint64(len(rough) - 1)).astype(np.int64)] += 1
+                parts.append(s)
             if not parts:
                 continue
-            u, n = np.unique(np.concatenate(parts), return_counts=True)
-            often = n >= max(3, len(parts) // COMMON)
+            least = max(3, len(parts) // COMMON)
+            some = [s[rough[(s & np.uint64(len(rough) - 1)).astype(np.int64)] >= least] for s in parts]
+            u, n = np.unique(np.concatenate(some), return_counts=True)
+            often = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
     total = docs.count()
-    found = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") * COMMON > total).select("s")
+    found = docs.select("text").mapInArrow(lean(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") * COMMON > total).select("s")
     return np.sort(np.asarray(found.toArrow().column(0)).astype(np.int64).view(np.uint64))
 
 
@@ -173,7 +179,7 @@ def _sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 ["doc_id", "n", "sig1", "sig2", "early", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig1 long, sig2 long, early long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, sig1 long, sig2 long, early long, prefix array<long>")
 
 
 def subset_sizes(n: int, boundary: int) -> list[int]:
@@ -222,7 +228,7 @@ def _subsets(reps: DataFrame, boundary: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.zeros(len(flat), np.int32)), pa.array(ids, pa.int64()), pa.array(size, pa.int64())], ["t", "p", "doc_id", "n"])
 
     light = reps.filter((F.col("n") > 0) & (F.col("n") <= boundary * DEN // NUM)).select("doc_id", "n", "prefix")
-    return light.mapInArrow(run, "t long, p int, doc_id long, n long").select("t", F.lit(SUBSET).alias("s"), "p", "doc_id", "n")
+    return light.mapInArrow(lean(run), "t long, p int, doc_id long, n long").select("t", F.lit(SUBSET).alias("s"), "p", "doc_id", "n")
 
 
 def common_in_prefixes(a_n, b_n):
@@ -245,8 +251,8 @@ def _allowed(a_n, b_n, a_p, b_p):
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted list entries to candidate pairs (a < b); entries of long lists also come back whole.
 
-    A pair comes with its sizes, the number of lists that gave it, and 1 if one of them was long, a
-    part, or of subsets, so that the number says nothing. A list in parts counts as long.
+    A pair comes with its sizes, the number of short lists that gave it, and ``open``: 1 if it is
+    from a long list, 2 if from one of subsets. A list in parts counts as long.
     """
 
     def out(a, b, an, bn, open_, t, p, doc, n):
@@ -260,7 +266,7 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.concatenate([rows[:, 0], doc])), pa.array(np.concatenate([rows[:, 1], doc])),
                 pa.array(np.concatenate([rows[:, 2], n])), pa.array(np.concatenate([rows[:, 3], n])),
-                pa.array(np.concatenate([times, np.zeros(extra, np.int64)])), pa.array(np.concatenate([rows[:, 4], np.zeros(extra, np.int64)])),
+                pa.array(np.concatenate([np.where(rows[:, 4] == 0, times, 0), np.zeros(extra, np.int64)])), pa.array(np.concatenate([rows[:, 4], np.zeros(extra, np.int64)])),
                 pa.array(np.concatenate([none, t]), mask=is_pair), pa.array(np.concatenate([none, p]), mask=is_pair),
             ],
             ["a", "b", "an", "bn", "times", "open", "t", "p"],
@@ -281,7 +287,7 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 ok = _allowed(n[x], n[y], p[x], p[y]) | (part[x] == SUBSET)
                 x, y = x[ok], y[ok]
-                pairs.append((doc[x], doc[y], n[x], n[y], np.where((size > SHORT) | (part[x] != 0), 1, 0)))
+                pairs.append((doc[x], doc[y], n[x], n[y], np.where(part[x] == SUBSET, 2, np.where((size > SHORT) | (part[x] != 0), 1, 0))))
         at = np.concatenate([np.concatenate(longer), np.flatnonzero(part > 0)])
         at = np.unique(at[part[at] != SUBSET])
         cols = [np.concatenate([q[k] for q in pairs]) if pairs else np.zeros(0, np.int64) for k in range(5)]
@@ -309,7 +315,7 @@ _CANDIDATE = "a long, b long, an long, bn long, times long, open long, t long, p
 
 def _scan(entries: DataFrame) -> DataFrame:
     """All lists of ``entries``; the order within a list makes its pivots the same in every list."""
-    return entries.repartition("t", "s").sortWithinPartitions("t", "s", F.xxhash64("doc_id"), "doc_id").mapInArrow(_scan_lists, _CANDIDATE)
+    return entries.repartition("t", "s").sortWithinPartitions("t", "s", F.xxhash64("doc_id"), "doc_id").mapInArrow(lean(_scan_lists), _CANDIDATE)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -332,24 +338,26 @@ def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int =
 
     ``entries`` are (t, doc_id, n, f, ts): ts are a document's shingles with long lists in the order
     of its prefix, and f is where they begin there. Pairs that met in no short list have their first
-    common shingle there or later, so at most n - f shingles in common; they are looked at in the
-    list of that first common shingle only.
+    common shingle there or later, so at most n - f shingles in common, and all that their prefixes
+    have in common is in ts. They are looked at in the list of the first common shingle only. Pairs
+    that did meet in a short list are verified already, or ruled out by their number of lists.
     """
     for turn in range(turns + 1):
         classes = stage(connected_components(links), "classes").select(F.col("node").alias("doc_id"), F.col("component_id").alias("cls"))
         members = stage(entries.join(classes, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id")), "members")
         per = members.groupBy("t", "cls").agg(F.count("*").alias("m"))
         mixed = per.groupBy("t").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("m"), F.count("*").alias("k")).filter("k > 1").select("t", "main", "m")
-        within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("ts"))
-        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), "main", "m")
-        y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"))
+        within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", "ts", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("earlier"))
+        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), F.col("earlier").alias("xe"), "main", "m")
+        y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"), F.col("earlier").alias("ye"))
 
         def met(x: DataFrame, once: str) -> DataFrame:
             room = f"least(xn - xf, yn - yf) >= ceil((xn + yn) * {NUM} / {NUM + DEN})"
             sizes = f"least(xn, yn) * {DEN} >= greatest(xn, yn) * {NUM}"
-            return x.select("t", "xd", "xn", "xf", "xc", "xt").join(y, "t").filter(f"xc <> yc AND {sizes} AND {room} AND {once}").select("xd", "yd")  # noqa: B023
+            enough = f"size(array_intersect(xt, yt)) >= ceil((xn + yn) * {NUM} / {NUM + DEN}) - ceil(greatest(xn, yn) * {NUM} / {DEN}) + 1"
+            return x.select("t", "xd", "xn", "xf", "xc", "xt", "xe").join(y, "t").filter(f"xc <> yc AND {sizes} AND {room} AND {once} AND {enough}").select("xd", "yd")  # noqa: B023
 
-        others = met(x.filter("xc <> main"), "NOT arrays_overlap(xt, yt)")
+        others = met(x.filter("xc <> main"), "NOT arrays_overlap(xe, ye)")
         few = turn == turns or others.count() <= 2 * members.count() + 1000
         if not few:  # some members of each list's main class, others in each list and turn
             others = met(x.filter("xc = main").filter(F.pmod(F.xxhash64("xd", "t", F.lit(turn)), F.col("m")) < PIVOTS), "true")
@@ -381,13 +389,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     met = found.filter("t IS NULL").groupBy("a", "b").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.sum("times").alias("times"), F.max("open").alias("open"))
     entries = found.filter("t IS NOT NULL").select("t", F.col("a").alias("doc_id"), F.col("an").alias("n"), "p")
     of_doc = entries.groupBy("doc_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda e: e["t"])).alias("ts"), F.min("p").alias("f"))
-    of_doc = stage(of_doc.withColumn("l", F.size("ts")), "long")
-    # what lists give must be often enough in both prefixes; long lists may hold more of a pair
+    of_doc = stage(of_doc, "long")
+    # shingles that both prefixes have: those of the short lists that gave the pair, and of long lists
     least = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN)) - F.ceil(F.greatest("an", "bn") * NUM / DEN) + 1
     for d in ("a", "b"):
-        met = met.join(of_doc.select(F.col("doc_id").alias(d), F.col("l").alias(f"{d}l")), d, "left")
-    unseen = F.coalesce(F.least(F.coalesce("al", F.lit(0)), F.coalesce("bl", F.lit(0))), F.lit(0))
-    pairs = stage(met.filter((F.col("open") == 1) | (F.col("times") + unseen >= least)).select("a", "b"), "pairs")
+        met = met.join(of_doc.select(F.col("doc_id").alias(d), F.col("ts").alias(f"{d}t")), d, "left")
+    long_common = F.coalesce(F.size(F.array_intersect("at", "bt")), F.lit(0))
+    pairs = stage(met.filter((F.col("open") == 2) | (F.col("times") + F.greatest(long_common, F.lit(0)) >= least)).select("a", "b"), "pairs")
     links = stage(_verified(pairs, _sets_of(docs, pairs)), "links")
     links = _closed(entries.drop("p").join(of_doc.select("doc_id", "f", "ts"), "doc_id"), links, docs)
     # rows of one doc_id with different sets belong together as well
