@@ -208,7 +208,7 @@ def _raw(spans: list[tuple[int, int, int]], at: int, end: bool) -> int:
     return min(first + at - where, last)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 500_000) -> DataFrame:
     """``MATCHES``: a row for every document and item that it holds within the error budget.
 
     ``start`` and ``end`` are places in the document's text, ``places`` counts the spots.
@@ -217,7 +217,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars:
     return reduce(DataFrame.unionByName, [own.mapInArrow(_matching(block, rate), MATCHES) for block in _item_blocks(items, min_chars, block_chars)])
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 8_000_000) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 500_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item: a filter without a join."""
     names = docs.columns
     text = names.index("text")

@@ -14,8 +14,8 @@ The table has at most ``max_rows`` rows of one 64-bit word for each 64 languages
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text none of
 whose 4-grams is known, and ties, go to the language first in the alphabet; without training rows
-all is ``und``; rows with a null lang teach nothing; a null doc_id counts as remainder 0's class of
-the empty string and is not held out.
+all is ``und``; rows with a null lang teach nothing; a null doc_id is not held out; rows
+that share a doc_id are each judged by themselves; an empty table gives an empty result.
 """
 
 from __future__ import annotations
