@@ -347,6 +347,9 @@ def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int =
         members = stage(entries.join(classes, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id")), "members")
         per = members.groupBy("t", "cls").agg(F.count("*").alias("m"))
         mixed = per.groupBy("t").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("m"), F.count("*").alias("k")).filter("k > 1").select("t", "main", "m")
+        mixed = stage(mixed, "mixed")
+        if mixed.isEmpty():
+            break
         within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", "ts", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("earlier"))
         x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), F.col("earlier").alias("xe"), "main", "m")
         y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"), F.col("earlier").alias("ye"))
@@ -358,7 +361,7 @@ def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int =
             return x.select("t", "xd", "xn", "xf", "xc", "xt", "xe").join(y, "t").filter(f"xc <> yc AND {sizes} AND {room} AND {once} AND {enough}").select("xd", "yd")  # noqa: B023
 
         others = met(x.filter("xc <> main"), "NOT arrays_overlap(xe, ye)")
-        few = turn == turns or others.count() <= 2 * members.count() + 1000
+        few = turn == turns or turn > 0 and others.count() <= 2 * members.count() + 1000
         if not few:  # some members of each list's main class, others in each list and turn
             others = met(x.filter("xc = main").filter(F.pmod(F.xxhash64("xd", "t", F.lit(turn)), F.col("m")) < PIVOTS), "true")
         pairs = stage(others.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct(), "cross")
