@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
         base = jsc.getCheckpointDir().get()
     return base.rstrip("/")
