@@ -29,7 +29,7 @@ from termloom.llm.textblocks import blocks, lean, located_words
 
 SPACE = "▁"
 #: Entries that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 UNKNOWN_BELOW = 10.0
 
 
@@ -154,5 +154,6 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             parts = [counter.block(body, at) for _, _, body, at in blocks(batch.column("text"), 3 << 20)]
             n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64))], ["doc_id", "n_tokens"])
+        counter.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long")
