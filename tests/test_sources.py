@@ -68,3 +68,33 @@ def test_gold_guard(spark):
 def test_requires_columns(spark):
     with pytest.raises(ValueError, match="table"):
         C.require_columns(spark.range(1).select(F.lit(1).alias("x")), "table")
+
+
+def test_blind_files_are_not_overwritten(spark, tmp_path):
+    from termloom.sources import sinks
+
+    sample = spark.createDataFrame([(1, "x", "M")], "id long, term string, pred string")
+    sinks.write_blind(sample, ["term"], ["term", "pred"], "gold", str(tmp_path / "s"))
+    seen = spark.read.option("header", True).csv(str(tmp_path / "s/annotation"))
+    assert seen.columns == ["id", "term", "gold"] and spark.read.json(str(tmp_path / "s/hidden")).first().pred == "M"
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        sinks.write_blind(sample, ["term"], ["pred"], "gold", str(tmp_path / "s"))
+
+
+def test_requests_and_replies(spark, tmp_path):
+    from termloom.operators import replies
+
+    measures = spark.createDataFrame([("Births",), ("Gas prices",)], "measure string")
+    asked = replies.domain_prompts(measures, ["energy", "population"])
+    assert asked.filter(F.col("prompt").contains("- energy\n- population")).count() == 2
+    answered = asked.limit(1).select("request_id", F.lit('{"domain": "energy", "confidence": 0.9}').alias("reply"))
+    replies.append_replies(answered, str(tmp_path / "cache"))
+    valid = replies.domain_replies(spark.read.parquet(str(tmp_path / "cache")), spark.createDataFrame([("energy",)], "domain string"))
+    assert valid.count() == 1 and replies.pending(asked, valid).count() == 1
+
+
+def test_vocabulary_files(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "A"), ("A", "A"), ("x", "U")], "term string, category string")
+    V.write_vocabulary(rows, str(tmp_path / "v"))
+    assert {p.name for p in (tmp_path / "v").iterdir() if p.is_dir()} == {"category=A", "category=U"}
+    assert [r.term for r in spark.read.option("header", True).csv(str(tmp_path / "v/category=A")).collect()] == ["A", "b"]
