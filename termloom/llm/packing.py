@@ -34,7 +34,9 @@ CAPACITY = 4096
 SHARD = 4096
 ISLANDS = 2
 #: Entries that a worker remembers of the words it has tokenized.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
+#: Entries that it keeps for its next partition.
+KEPT = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
@@ -75,6 +77,13 @@ class ChunkTokenizer:
         self.met = np.zeros(len(keep), np.int32)
         self.known: dict[int, int] = dict(zip(self.hashes.tolist(), range(len(keep)), strict=True))
 
+    def shrink(self, most: int) -> None:
+        """Keep the chunks that were met in more than one block, ``most`` at most, and no other."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > most:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[:most]])
+        self._forget(often)
+
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         """Many chunks go in one text with a space between; offsets tell whose an id is."""
         ids, sizes = [], []
@@ -103,9 +112,8 @@ class ChunkTokenizer:
 
         h, begin, starts, ends = located_words(body, at, tails=_TAIL)
         where, seen = pd.factorize(h)
-        if len(self.known) > REMEMBERED:  # what was met in one block only goes
-            often = np.flatnonzero(self.met > 1)
-            self._forget(often if len(often) < REMEMBERED // 2 else None)
+        if len(self.known) > REMEMBERED:
+            self.shrink(REMEMBERED // 2)
         number = np.array([self.known.get(x, -1) for x in seen.tolist()], np.int64)
         miss = np.flatnonzero(number < 0)
         if len(miss):
@@ -153,26 +161,31 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Every document's pieces: at most ``capacity`` ids each, the last one may be shorter."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Every document's pieces: at most ``capacity`` ids each, the last one may be shorter.
+
+    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit bytes.
+    """
     end = np.array([end_id], "<u4")
+    schema = PIECES + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(tokenizer_path)
         for batch in batches:
             rows, docs = [], batch.column("doc_id").to_pylist()
-            for first, _, body, at in blocks(batch.column("text"), 2 << 20):
+            for first, _, body, at in blocks(batch.column("text"), 1 << 20):
                 for doc, ids in zip(docs[first:], own.block(body, at), strict=False):
                     data = np.concatenate([ids, end]).tobytes()
                     for p, where in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[where : where + 4 * capacity]
                         crc = zlib.crc32(part)
-                        rows.append((doc, p, where // 4, len(part) // 4, crc, (crc << 20 ^ where ^ (doc or 0) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+                        rows.append((doc, p, where // 4, len(part) // 4, crc, (crc << 20 ^ where ^ (doc or 0) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF, *[part] * with_ids))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+            cols = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
+        own.shrink(KEPT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 class Bins:
@@ -277,7 +290,7 @@ def _epoch(capacity: int, islands: int, last: bool):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<i4").tolist()
+                sizes = row["sizes"]
                 start = [bins_of(np.frombuffer(p, "<i4")) for p in row["start"] or []]
                 best = breed(sizes, capacity, row["shard"] * 31 + row["island"] * 7 + 1 + last, start)
                 places = np.empty(len(sizes), "<i4")
@@ -286,13 +299,13 @@ def _epoch(capacity: int, islands: int, last: bool):
                 fit = _fitness(best, sizes, capacity)
                 out.append((row["shard"], (row["island"] + 1) % islands, row["sizes"], [places.tobytes()], float(fit[0]) * 1e6 + fit[1]))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.float64()]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "island", "sizes", "start", "fit"])
 
     return run
 
 
-_ISLAND = "shard long, island int, sizes binary, start array<binary>, fit double"
+_ISLAND = "shard long, island int, sizes array<int>, start array<binary>, fit double"
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
@@ -304,8 +317,8 @@ def _dealt(rows: DataFrame, shards: int) -> DataFrame:
 
 def _breed_shards(dealt: DataFrame, capacity: int) -> DataFrame:
     """(shard, places): the best packing of each shard over all islands."""
-    sizes = dealt.select("shard", F.transform("items", lambda i: i["length"].cast("int")).alias("items")).mapInArrow(_int_bytes, "shard long, sizes binary")
-    every = sizes.select("shard", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), "sizes", F.lit(None).cast("array<binary>").alias("start"))
+    sizes = F.transform("items", lambda i: i["length"].cast("int")).alias("sizes")
+    every = dealt.select("shard", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), sizes, F.lit(None).cast("array<binary>").alias("start"))
     first = every.mapInArrow(_epoch(capacity, ISLANDS, False), _ISLAND)
     # the elite of island k is bred with island k + 1's own: its packing, and the elite that came
     own = first.select("shard", F.pmod(F.col("island") - 1, F.lit(ISLANDS)).cast("int").alias("island"), "sizes", "start")
@@ -314,12 +327,6 @@ def _breed_shards(dealt: DataFrame, capacity: int) -> DataFrame:
     return second.groupBy("shard").agg(F.max_by("start", F.struct("fit", "island"))[0].alias("places"))
 
 
-def _int_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        items = [np.asarray(x.values).astype("<i4").tobytes() for x in batch.column("items")]
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(items, pa.binary())], ["shard", "sizes"])
-
-
 def _placed(capacity: int, level: int, last: bool):
     """Pieces with sequence_id and offset; those of bins that go on have neither."""
 
@@ -369,3 +376,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     return pack(pieces(docs, tokenizer_path, end_id, capacity), capacity).drop("uid")
+
+
+def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+    """(sequence_id, ids): the sequences that ``pack_documents`` planned, as bytes of their ids."""
+    same = ["doc_id", "piece", "ids_crc32"]
+    texts = pieces(docs, tokenizer_path, end_id, capacity, with_ids=True).select(*same, "ids").dropDuplicates(same).alias("t")
+    plan = packed.alias("p")
+    on = F.expr("t.doc_id <=> p.doc_id AND t.piece = p.piece AND t.ids_crc32 = p.ids_crc32")
+    parts = F.array_sort(F.collect_list(F.struct("p.offset", "t.ids")))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return plan.join(texts, on).groupBy("p.sequence_id").agg(whole.alias("ids"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from termloom.llm import arc_warc, chat_format, components, embedding_dedup, packing, staging
 
-from .test_text_operators import classes_by_force, copies, lines_by_force, table
+from .test_text_operators import classes_by_force, copies, lines_by_force
 
 
 # ---- components ----

@@ -341,6 +341,11 @@ def test_packing(spark):
         assert at <= 4096
     least = -(-sum(w[3] for w in want) // 4096)
     assert len(sequences) <= least + 1
+    plan = packing.pack_documents(table(spark, rows), tokenizer_path("word_bpe_49k.json"))
+    made = {r.sequence_id: bytes(r.ids) for r in packing.sequences(table(spark, rows), plan, tokenizer_path("word_bpe_49k.json")).collect()}
+    assert {k: len(v) // 4 for k, v in made.items()} == {k: sum(n for _, n in v) for k, v in sequences.items()}
+    for r in got:
+        assert zlib.crc32(made[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)]) == r.ids_crc32
 
 
 def test_packing_over_many_shards(spark, monkeypatch):
