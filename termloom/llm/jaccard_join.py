@@ -12,7 +12,10 @@ A document is the set of its distinct 5-word shingles. Two sets link at 100 * |i
   in that order, so that common passages make no lists.
 * The boundary is the one whose subsets and list pairs, counted over all sets, cost least.
 
-Short lists give all pairs that size and position allow. In a long list the members are compared
+Members of a subset list whose sizes ask for no larger overlap than the list's subset has are all
+linked: each is paired with one such member, and one member of each size with one of each other.
+
+Short lists of shingles give all pairs that size and position allow. In a long list the members are compared
 with ``PIVOTS`` of them, then linked classes are found, and only lists whose members still are in
 different classes are scanned again, with other pivots or, when few pairs are left, all of them
 across classes. What is returned are classes: no link that joins two classes is lost, and a group
@@ -209,12 +212,12 @@ def choose_boundary(reps: DataFrame, most: int = MOST_LIGHT) -> int:
 
 
 def _subsets(reps: DataFrame, boundary: int) -> DataFrame:
-    """(t, s, p, doc_id, n) of the light sets: a subset's hash in place of a shingle."""
+    """(t, s, p, doc_id, n) of the light sets: a subset's hash and size in place of a shingle and its place."""
     ask = {n: subset_sizes(n, boundary) for n in range(1, boundary * DEN // NUM + 1)}
 
     def run(batches):
         for batch in batches:
-            t, ids, size = [], [], []
+            t, c_of, ids, size = [], [], [], []
             for doc, n, prefix in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix"), strict=True):
                 u = np.sort(np.asarray(prefix.values).astype(np.int64).view(np.uint64))
                 for c in ask.get(n, []):
@@ -222,10 +225,11 @@ def _subsets(reps: DataFrame, boundary: int) -> DataFrame:
                     left = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
                     sums = mix(u).sum() - mix(u)[left].sum(axis=1)
                     t.append(mix(sums + np.uint64(c * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)))
+                    c_of += [c] * len(left)
                     ids += [doc] * len(left)
                     size += [n] * len(left)
             flat = np.concatenate(t).view(np.int64) if t else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.zeros(len(flat), np.int32)), pa.array(ids, pa.int64()), pa.array(size, pa.int64())], ["t", "p", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(c_of, pa.int32()), pa.array(ids, pa.int64()), pa.array(size, pa.int64())], ["t", "p", "doc_id", "n"])
 
     light = reps.filter((F.col("n") > 0) & (F.col("n") <= boundary * DEN // NUM)).select("doc_id", "n", "prefix")
     return light.mapInArrow(lean(run), "t long, p int, doc_id long, n long").select("t", F.lit(SUBSET).alias("s"), "p", "doc_id", "n")
@@ -248,6 +252,40 @@ def _allowed(a_n, b_n, a_p, b_p):
     return (np.minimum(a_n, b_n) * DEN >= np.maximum(a_n, b_n) * NUM) & (rest >= need)
 
 
+def _subset_pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs that join what subset lists join, whatever their length.
+
+    Two members of a list have its ``c`` shingles in common, which links them if their sizes ask for
+    no more. All members of a size are paired with the first of the smallest size that links with
+    theirs, and the firsts of every two sizes that link are paired.
+    """
+    order = np.lexsort((n, t))
+    ts, ns = t[order], n[order]
+    edge = np.flatnonzero(np.r_[True, (ts[1:] != ts[:-1]) | (ns[1:] != ns[:-1])])  # a group is the members of one size in a list
+    count = np.diff(np.r_[edge, len(ts)])
+    first, gt, gn, gc = order[edge], ts[edge], ns[edge], c[order[edge]]
+    partner = np.full(len(edge), -1)
+    x, y = [], []
+    for step in range(len(edge)):
+        g = np.arange(len(edge) - step)
+        g = g[gt[g] == gt[g + step]]
+        if not len(g):
+            break
+        g = g[-(-NUM * (gn[g] + gn[g + step]) // (NUM + DEN)) <= gc[g]]
+        # larger steps reach smaller sizes, so the last one to be written is the smallest
+        partner[g + step] = first[g]
+        if step:
+            x.append(first[g])
+            y.append(first[g + step])
+            none = g[partner[g] < 0]
+            partner[none] = first[none + step]
+    with_ = np.repeat(partner, count)
+    x.append(order[with_ >= 0])
+    y.append(with_[with_ >= 0])
+    x, y = np.concatenate(x), np.concatenate(y)
+    return x[x != y], y[x != y]
+
+
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted list entries to candidate pairs (a < b); entries of long lists also come back whole.
 
@@ -273,9 +311,14 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     def work(t, p, doc, n, part):
-        edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
-        length = np.diff(np.r_[edge, len(t)])
         pairs, longer = [], [np.zeros(0, np.int64)]
+        sub = part == SUBSET
+        if sub.any():
+            x, y = _subset_pairs(t[sub], p[sub], n[sub])
+            pairs.append((doc[sub][x], doc[sub][y], n[sub][x], n[sub][y], np.full(len(x), 2)))
+            t, p, doc, n, part = t[~sub], p[~sub], doc[~sub], n[~sub], part[~sub]
+        edge = np.flatnonzero(np.r_[np.full(min(1, len(t)), True), (t[1:] != t[:-1]) | (part[1:] != part[:-1])])
+        length = np.diff(np.r_[edge, len(t)])
         for size in np.unique(length[length > 1]):
             starts = edge[length == size]
             if size <= SHORT:
@@ -285,11 +328,10 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 longer.append((starts[:, None] + np.arange(size)).ravel())
             for some in np.array_split(starts, max(1, len(starts) * len(i) // 1_000_000)):
                 x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                ok = _allowed(n[x], n[y], p[x], p[y]) | (part[x] == SUBSET)
+                ok = _allowed(n[x], n[y], p[x], p[y])
                 x, y = x[ok], y[ok]
-                pairs.append((doc[x], doc[y], n[x], n[y], np.where(part[x] == SUBSET, 2, np.where((size > SHORT) | (part[x] != 0), 1, 0))))
-        at = np.concatenate([np.concatenate(longer), np.flatnonzero(part > 0)])
-        at = np.unique(at[part[at] != SUBSET])
+                pairs.append((doc[x], doc[y], n[x], n[y], np.where((size > SHORT) | (part[x] != 0), 1, 0)))
+        at = np.unique(np.concatenate([np.concatenate(longer), np.flatnonzero(part > 0)]))
         cols = [np.concatenate([q[k] for q in pairs]) if pairs else np.zeros(0, np.int64) for k in range(5)]
         return out(*cols, t[at], p[at], doc[at], n[at])
 

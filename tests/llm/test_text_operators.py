@@ -149,6 +149,46 @@ def test_near_copies_with_lists_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == classes_by_force(rows)
 
 
+def test_near_copies_of_a_hub_in_long_subset_lists(spark, monkeypatch):
+    chosen, choose = [], jaccard_join.choose_boundary
+    monkeypatch.setattr(jaccard_join, "choose_boundary", lambda reps: chosen.append(choose(reps)) or chosen[-1])
+    texts = []
+    for seed, (length, more) in enumerate([(8, 1), (9, 1), (11, 1), (12, 2)]):
+        hub = copies(40 + seed, 1, 1, length, 0)[0]
+        texts += [hub] + [f"{hub} {x}" for x in copies(50 + seed, 40, 1, more, 0)]
+    random.Random(4).shuffle(texts)
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_classes(table(spark, rows)).collect()
+    assert chosen[0] > 0
+    assert len({r.component_id for r in got}) == 4
+    assert sorted(map(tuple, got), key=repr) == classes_by_force(rows)
+
+
+def test_subset_pairs_join_what_lists_join():
+    rng = np.random.default_rng(1)
+    t = np.repeat(np.arange(300), rng.integers(1, 50, 300))
+    c = (3 + t % 9).astype(np.int64)
+    n = c + rng.integers(0, 4, len(t))
+    x, y = jaccard_join._subset_pairs(t, c, n)
+    assert len(x) < 3 * len(t)
+    need = lambda i, j: jaccard_join.overlap(int(n[i]), int(n[j])) <= c[i]
+    given = {k: [] for k in range(300)}
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        assert t[i] == t[j] and need(i, j)
+        given[t[i]].append((i, j))
+
+    def joined(members, pairs):
+        low = {i: i for i in members}
+        for _ in members:
+            for i, j in pairs:
+                low[i] = low[j] = min(low[i], low[j])
+        return low
+
+    for k in range(300):
+        members = np.flatnonzero(t == k).tolist()
+        assert joined(members, given[k]) == joined(members, [(i, j) for i, j in itertools.combinations(members, 2) if need(i, j)])
+
+
 def test_overlap_bounds():
     for a in range(1, 60):
         for b in range(max(1, -(-80 * a // 100)), a * 100 // 80 + 1):
