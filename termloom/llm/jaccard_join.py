@@ -21,12 +21,17 @@ different classes are scanned again, with other pivots or, when few pairs are le
 across classes. What is returned are classes: no link that joins two classes is lost, and a group
 of g near copies costs a multiple of g instead of its square.
 
-All candidates are verified on the whole sets. 64-bit hashes stand for shingles; within one pair a
-collision is out of reach, and between pairs it only adds a candidate.
+Candidates are first held against the parities of their sets: a bit for each of about n buckets of
+shingle hashes says whether the set has an odd number there. The bits in which two sets differ are
+at most the shingles that only one of them has, so pairs with more than the sizes allow go before a
+set is moved. All others are verified on the whole sets. 64-bit hashes stand for shingles; within
+one pair a collision is out of reach, and between pairs it only adds a candidate.
 
 Defined results: null or empty texts, and texts of white space, have no shingles and link with
 nothing; a null doc_id links with nothing and has a null class; rows that share a doc_id share a
-class; an empty table gives an empty result; only doc_id and text are read.
+class; texts of any length are one set (prefixes and sets are arrays of their shingles); ties do not
+occur, as a class is named by its least doc_id; an empty table gives an empty result; only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.components import connected_components
+from termloom.llm.skew import join_unique
 from termloom.llm.staging import stage
 from termloom.llm.textblocks import blocks, lean, mix, shingles, words
 
@@ -49,12 +55,16 @@ NUM, DEN = 80, 100
 SHORT, PIVOTS = 32, 4
 #: Largest boundary considered: C(20, 18) subsets and the like are still few.
 MOST_LIGHT = 20
-#: A shingle found in more than one in so many documents comes last.
-COMMON = 1000
+#: A shingle found in more than one in so many documents, or in more than so many, comes last.
+COMMON, LONGEST = 1000, 2_000_000
 #: Part number of subset lists.
 SUBSET = -1
 #: Lists of common shingles are dealt into parts of about so many documents.
 PART = 20_000
+#: Members of a list that meet one part of it when all of it is compared across classes.
+MEET = 1024
+#: Largest bit map of documents that is broadcast; more of them are looked up by a join.
+MARK_BITS = 1 << 28
 
 
 def overlap(a: int, b: int) -> int:
@@ -78,9 +88,8 @@ def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
 
 
-def _marked(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """A bit map of at most ``most_bits`` with the bit of every doc_id of ``ids`` set."""
-    bits = min(most_bits, 1 << max(16, (16 * ids.count()).bit_length()))
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of ``bits`` with the bit of every doc_id of ``ids`` set."""
 
     def run(batches):
         for batch in batches:
@@ -93,18 +102,24 @@ def _marked(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(doc_id, shingles): the sorted shingle hashes of documents whose bit is set.
+def shingle_sets(docs: DataFrame, needed: DataFrame, most_bits: int = MARK_BITS) -> DataFrame:
+    """(doc_id, shingles): the sorted shingle hashes of the documents in ``needed`` (doc_id).
 
-    Marks spare the join of whole texts with ids; a few documents too many go with the later join.
+    A broadcast bit map spares the join of whole texts with ids, as long as it has 8 bits at least
+    for each of them; a few documents too many go with the later join.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(marks)
+    bits = 1 << max(16, (8 * needed.count() - 1).bit_length())
+    if bits > most_bits:
+        docs, spread = docs.join(needed, "doc_id", "left_semi"), None
+    else:
+        spread = docs.sparkSession.sparkContext.broadcast(_marked(needed, bits))
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            bit = _bit(np.asarray(ids.fill_null(0)), 64 * len(spread.value))
-            batch = batch.filter(pa.array((spread.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            if spread is not None:
+                bit = _bit(np.asarray(ids.fill_null(0)), 64 * len(spread.value))
+                batch = batch.filter(pa.array((spread.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
             ids = batch.column("doc_id")
             at, part, held = 0, [], 0
             for u in _sets(batch.column("text")):
@@ -119,18 +134,22 @@ def shingle_sets(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, shingles array<long>")
 
 
-def _listed(ids: pa.Array, parts: list[np.ndarray], name: str) -> pa.RecordBatch:
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     at = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=at[1:])
-    flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at), flat)], ["doc_id", name])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def _listed(ids: pa.Array, parts: list[np.ndarray], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, _lists(parts)], ["doc_id", name])
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than one of ``COMMON`` documents, as far as each batch's share shows.
+    """Shingles in more than one of ``COMMON`` documents or in more than ``LONGEST``, as far as each
+    batch's share shows.
 
     Only the order of prefixes depends on it, never a result. At most ``COMMON`` times the mean set
-    size can qualify, whatever the input's size.
+    size can qualify up to ``COMMON * LONGEST`` documents, and beyond that one in ``LONGEST`` of all.
     """
 
     def run(batches):
@@ -149,21 +168,22 @@ def _common(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
     total = docs.count()
-    found = docs.select("text").mapInArrow(lean(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") * COMMON > total).select("s")
+    found = docs.select("text").mapInArrow(lean(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") > min(total // COMMON, LONGEST)).select("s")
     return np.sort(np.asarray(found.toArrow().column(0)).astype(np.int64).view(np.uint64))
 
 
 def _sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig1, sig2, early, prefix): a set's size, its identity, its prefix in order, and
-    where in it the common shingles begin."""
+    """(doc_id, n, sig1, sig2, early, prefix, parity): a set's size, its identity, its prefix in
+    order, where in it the common shingles begin, and its parities."""
     spread = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         last = spread.value
         for batch in batches:
-            ids, n, s1, s2, early, prefixes = batch.column("doc_id"), [], [], [], [], []
+            ids, n, s1, s2, early, prefixes, odd = batch.column("doc_id"), [], [], [], [], [], []
             for u in _sets(batch.column("text")):
                 n.append(len(u))
+                odd.append(parities(u))
                 s1.append(int(mix(u).sum() & np.uint64(0xFFFFFFFFFFFFFFFF)) if len(u) else 0)
                 s2.append(int(np.bitwise_xor.reduce(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) if len(u) else 0)
                 if len(last) and len(u):
@@ -174,15 +194,31 @@ def _sketches(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     early.append(len(u))
                 whole = len(u) <= MOST_LIGHT * DEN // NUM  # a light set is kept whole
                 prefixes.append(u[: len(u) if whole else prefix_length(len(u))].view(np.int64))
-            at = np.zeros(len(n) + 1, np.int32)
-            np.cumsum([len(p) for p in prefixes], out=at[1:])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(early, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["doc_id", "n", "sig1", "sig2", "early", "prefix"],
+                [ids, pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(early, pa.int64()), _lists(prefixes), _lists(odd)],
+                ["doc_id", "n", "sig1", "sig2", "early", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, sig1 long, sig2 long, early long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, sig1 long, sig2 long, early long, prefix array<long>, parity array<long>")
+
+
+def parities(u: np.ndarray) -> np.ndarray:
+    """Whether each bucket of the set has an odd number, in 64-bit words: a power of two of them, with
+    at least as many bits as the set has shingles. The words of half as many are the halves' xor."""
+    size = 1 << max(0, (len(u) - 1).bit_length() - 6)
+    out = np.zeros(size, np.uint64)
+    np.bitwise_xor.at(out, ((u >> np.uint64(6)) & np.uint64(size - 1)).astype(np.int64), np.uint64(1) << (u & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _parities_allow(x: str, y: str, xn: str, yn: str) -> str:
+    """SQL: sets with the parities ``x`` and ``y`` may have the overlap that their sizes ask for."""
+
+    def folded(a: str, b: str) -> str:  # linked sizes differ by a quarter at most, so one halving is enough
+        return f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (p, q) -> p ^ q), {a})"
+
+    differ = f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    return f"{differ} <= {xn} + {yn} - 2 * ceil(({xn} + {yn}) * {NUM} / {NUM + DEN})"
 
 
 def subset_sizes(n: int, boundary: int) -> list[int]:
@@ -335,21 +371,26 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate([q[k] for q in pairs]) if pairs else np.zeros(0, np.int64) for k in range(5)]
         return out(*cols, t[at], p[at], doc[at], n[at])
 
-    kept = None  # entries of the list that may go on in the next batch
+    kept: list[list[np.ndarray]] = []  # entries of the list that may go on in the next batch
+
+    def joined(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*rows, strict=True)]
+
     for batch in batches:
         cols = [np.asarray(batch.column(c)).astype(np.int64) for c in ("t", "p", "doc_id", "n", "s")]
-        if kept is not None:
-            cols = [np.concatenate([k, c]) for k, c in zip(kept, cols, strict=True)]
         t, part = cols[0], cols[4]
         if not len(t):
             continue
         cut = int(np.searchsorted(t, t[-1]))
         cut += int(np.searchsorted(part[cut:], part[-1]))
-        kept = [c[cut:] for c in cols]
-        if cut:
+        if kept and (cut or (kept[-1][0][-1], kept[-1][4][-1]) != (t[0], part[0])):
+            yield work(*joined([*kept, [c[:cut] for c in cols]]))
+            kept = []
+        elif cut:
             yield work(*[c[:cut] for c in cols])
-    if kept is not None:
-        yield work(*kept)
+        kept.append([c[cut:] for c in cols])
+    if kept:
+        yield work(*joined(kept))
 
 
 _CANDIDATE = "a long, b long, an long, bn long, times long, open long, t long, p long"
@@ -372,10 +413,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sets of the documents in ``pairs``, computed again from their texts."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return shingle_sets(docs.select("doc_id", "text"), _marked(needed))
+    return shingle_sets(docs.select("doc_id", "text"), needed)
+
+
+def _plausible(pairs: DataFrame, odd: DataFrame) -> DataFrame:
+    """Pairs (a, b, an, bn) that their parities allow."""
+    for d in ("a", "b"):
+        pairs = pairs.join(odd.select(F.col("doc_id").alias(d), F.col("n").alias(f"{d}n"), F.col("parity").alias(f"{d}o")), [d, f"{d}n"])
+    return pairs.filter(_parities_allow("ao", "bo", "an", "bn")).select("a", "b").distinct()
 
 
-def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int = 3) -> DataFrame:
+def _closed(entries: DataFrame, links: DataFrame, odd: DataFrame, docs: DataFrame, turns: int = 3) -> DataFrame:
     """All links: those given, and those still missing between classes that meet in long lists.
 
     ``entries`` are (t, doc_id, n, f, ts): ts are a document's shingles with long lists in the order
@@ -388,25 +436,27 @@ def _closed(entries: DataFrame, links: DataFrame, docs: DataFrame, turns: int =
         classes = stage(connected_components(links), "classes").select(F.col("node").alias("doc_id"), F.col("component_id").alias("cls"))
         members = stage(entries.join(classes, "doc_id", "left").withColumn("cls", F.coalesce("cls", "doc_id")), "members")
         per = members.groupBy("t", "cls").agg(F.count("*").alias("m"))
-        mixed = per.groupBy("t").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("m"), F.count("*").alias("k")).filter("k > 1").select("t", "main", "m")
+        mixed = per.groupBy("t").agg(F.max_by("cls", F.struct("m", "cls")).alias("main"), F.max("m").alias("m"), F.count("*").alias("k"), F.ceil(F.sum("m") / MEET).alias("deal")).filter("k > 1").select("t", "main", "m", "deal")
         mixed = stage(mixed, "mixed")
         if mixed.isEmpty():
             break
-        within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", "ts", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("earlier"))
-        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), F.col("earlier").alias("xe"), "main", "m")
-        y = within.select("t", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"), F.col("earlier").alias("ye"))
+        within = members.join(mixed, "t").select("t", "doc_id", "n", "f", "cls", "main", "m", "deal", "ts", F.slice("ts", 1, F.array_position("ts", F.col("t")).cast("int") - 1).alias("earlier"))
+        x = within.select("t", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("f").alias("xf"), F.col("cls").alias("xc"), F.col("ts").alias("xt"), F.col("earlier").alias("xe"), "main", "m", F.pmod(F.xxhash64("doc_id"), "deal").alias("dealt"))
+        y = within.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)).alias("dealt"), F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("f").alias("yf"), F.col("cls").alias("yc"), F.col("ts").alias("yt"), F.col("earlier").alias("ye"))
 
         def met(x: DataFrame, once: str) -> DataFrame:
             room = f"least(xn - xf, yn - yf) >= ceil((xn + yn) * {NUM} / {NUM + DEN})"
             sizes = f"least(xn, yn) * {DEN} >= greatest(xn, yn) * {NUM}"
             enough = f"size(array_intersect(xt, yt)) >= ceil((xn + yn) * {NUM} / {NUM + DEN}) - ceil(greatest(xn, yn) * {NUM} / {DEN}) + 1"
-            return x.select("t", "xd", "xn", "xf", "xc", "xt", "xe").join(y, "t").filter(f"xc <> yc AND {sizes} AND {room} AND {once} AND {enough}").select("xd", "yd")  # noqa: B023
+            return x.select("t", "dealt", "xd", "xn", "xf", "xc", "xt", "xe").join(y, ["t", "dealt"]).filter(f"xc <> yc AND {sizes} AND {room} AND {once} AND {enough}").select("xd", "yd", "xn", "yn")  # noqa: B023
 
         others = met(x.filter("xc <> main"), "NOT arrays_overlap(xe, ye)")
         few = turn == turns or turn > 0 and others.count() <= 2 * members.count() + 1000
         if not few:  # some members of each list's main class, others in each list and turn
             others = met(x.filter("xc = main").filter(F.pmod(F.xxhash64("xd", "t", F.lit(turn)), F.col("m")) < PIVOTS), "true")
-        pairs = stage(others.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct(), "cross")
+        sized = [F.when(F.col("xd") < F.col("yd"), F.col(p)).otherwise(F.col(q)) for p, q in (("xn", "yn"), ("yn", "xn"))]
+        pairs = others.select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b"), sized[0].alias("an"), sized[1].alias("bn")).distinct()
+        pairs = stage(_plausible(pairs, odd), "cross")
         links = links.unionByName(stage(_verified(pairs, _sets_of(docs, pairs)), "links"))
         if few:
             break
@@ -423,6 +473,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     usable = sketches.filter("n > 0 AND doc_id IS NOT NULL")
     same = ["sig1", "sig2", "n"]
     reps = usable.groupBy(*same).agg(F.min_by(F.struct("doc_id", "early", "prefix"), "doc_id").alias("r")).select("n", "r.doc_id", "r.early", "r.prefix")
+    odd = usable.select("doc_id", "n", "parity")
     boundary = choose_boundary(reps)
 
     dealt = f"1 + pmod(xxhash64(doc_id, 1), {parts})" if parts > 1 else "0"
@@ -431,7 +482,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     if boundary:
         lists = lists.unionByName(_subsets(reps, boundary))
     found = stage(_scan(lists), "found")
-    met = found.filter("t IS NULL").groupBy("a", "b").agg(F.first("an").alias("an"), F.first("bn").alias("bn"), F.sum("times").alias("times"), F.max("open").alias("open"))
+    met = found.filter("t IS NULL").groupBy("a", "b", "an", "bn").agg(F.sum("times").alias("times"), F.max("open").alias("open"))
     entries = found.filter("t IS NOT NULL").select("t", F.col("a").alias("doc_id"), F.col("an").alias("n"), "p")
     of_doc = entries.groupBy("doc_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("p", "t"))), lambda e: e["t"])).alias("ts"), F.min("p").alias("f"))
     of_doc = stage(of_doc, "long")
@@ -440,14 +491,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     for d in ("a", "b"):
         met = met.join(of_doc.select(F.col("doc_id").alias(d), F.col("ts").alias(f"{d}t")), d, "left")
     long_common = F.coalesce(F.size(F.array_intersect("at", "bt")), F.lit(0))
-    pairs = stage(met.filter((F.col("open") == 2) | (F.col("times") + F.greatest(long_common, F.lit(0)) >= least)).select("a", "b"), "pairs")
+    enough = met.filter((F.col("open") == 2) | (F.col("times") + F.greatest(long_common, F.lit(0)) >= least)).select("a", "b", "an", "bn")
+    pairs = stage(_plausible(enough, odd), "pairs")
     links = stage(_verified(pairs, _sets_of(docs, pairs)), "links")
-    links = _closed(entries.drop("p").join(of_doc.select("doc_id", "f", "ts"), "doc_id"), links, docs)
+    links = _closed(entries.drop("p").join(of_doc.select("doc_id", "f", "ts"), "doc_id"), links, odd, docs)
+    firsts = stage(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "sets")
+    total = firsts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     # rows of one doc_id with different sets belong together as well
-    firsts = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    joined = usable.join(firsts, same).select("doc_id", "rep")
-    several = joined.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    classes = connected_components(links.unionByName(several)).select(F.col("node").alias("rep"), "component_id")
-    of_set = firsts.join(classes, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("cls"))
-    out = sketches.select("doc_id", *same).join(of_set, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")).alias("component_id"))
+    several = usable.groupBy("doc_id").agg(F.min("sig1").alias("x"), F.max("sig1").alias("y")).filter("x <> y").select("doc_id")
+    own = usable.select("doc_id", *same)
+    if not several.isEmpty():
+        again = join_unique(own.join(several, "doc_id", "left_semi"), firsts, same, "rows", total)
+        links = links.unionByName(again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    classes = stage(connected_components(links), "classes").select(F.col("node").alias("rep"), "component_id")
+    of_set = stage(firsts.join(classes, "rep", "left").select(*same, F.coalesce("component_id", "rep").alias("cls"), "rows"), "of_set")
+    alone = sketches.filter("n = 0 OR doc_id IS NULL").select("doc_id", *same, F.col("doc_id").alias("cls"))
+    out = join_unique(own, of_set, same, "rows", total).unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("component_id"))
