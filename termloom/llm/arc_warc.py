@@ -12,13 +12,16 @@ record with a synthesised id (a UUID of its place and URL), ISO date, type and S
 
 Which record keeps a payload is settled over light rows (digest, length, order) with a partially
 aggregated minimum; payloads move once, to be written in place by Spark's text writer, which
-reaches any file system that Spark does: a record is a line that ends in CR LF CR, and the line
-feed is the writer's.
+reaches any file system that Spark does: a line is a run of whole records that ends in CR LF CR, and
+the line feed is the writer's.
 
 Defined results: a header line that doesn't parse, or a declared length beyond the end of the
 archive, ends the archive; what is left of such a body is kept and marked WARC-Truncated; empty
 archives give nothing; records without a payload have the digest of no bytes and take part in
-revisits from ``min_bytes`` 0 on.
+revisits from ``min_bytes`` 0 on. Of pages: a null html is empty, a null url ``urn:unknown``, any
+signed 64-bit page_id is kept and a null one never is a keeper where another is there; repeated
+rows are records of their own, of which the earliest in the archives is the keeper; long texts are
+one record; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.llm.skew import join_unique
 from termloom.llm.staging import new_path, stage
 
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
@@ -82,11 +86,15 @@ def inflated(data: bytes) -> bytes:
     """The bytes of an archive that may be gzipped, in one member or one for each record."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    out, at, step = [], 0, 1 << 16
+    while data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data.lstrip(b"\0")
+        while at < len(data) and not z.eof:  # by steps, as what is behind a member's end is copied
+            out.append(z.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(z.unused_data)
+        while data[at : at + 1] == b"\0":
+            at += 1
     return b"".join(out)
 
 
@@ -189,11 +197,14 @@ def http_header(block: bytes, name: str) -> str | None:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+    """A signed 64-bit number in decimal digits."""
+    n = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
 
 
-#: Payload bytes that are put into one archive.
+#: Payload bytes that are put into one archive; bytes of a chunk of records, and chunks of a file.
 ARCHIVE_BYTES = 4 << 20
+CHUNK_BYTES, FILE_CHUNKS = 2 << 20, 32
 _NOT_IN_URL = re.compile(r"\s")
 
 
@@ -235,7 +246,7 @@ def keepers(arcs: DataFrame, min_bytes: int = 0, order_header: str = "X-Page-Id"
     The keeper is the first by the number in ``order_header`` (records without one come last),
     then by date, archive and offset.
     """
-    schema = "archive string, offset long, digest string, bytes long, rank long, date string, url string"
+    schema = "archive string, offset long, digest string, bytes long, unranked boolean, rank long, date string, url string"
 
     def run(batches):
         for batch in batches:
@@ -245,18 +256,22 @@ def keepers(arcs: DataFrame, min_bytes: int = 0, order_header: str = "X-Page-Id"
                     http = r.http
                     if http and len(http[1]) >= min_bytes:
                         rank = _number(http_header(http[0], order_header))
-                        rows.append((name, r.offset, payload_digest(http[1]), len(http[1]), (1 << 62) if rank is None else rank, r.date, r.url))
+                        rows.append((name, r.offset, payload_digest(http[1]), len(http[1]), rank is None, rank or 0, r.date, r.url))
                 if rows:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    light = arcs.mapInArrow(run, schema)
-    first = light.groupBy("digest", "bytes").agg(F.min(F.struct("rank", "date", "archive", "offset", "url")).alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return light.join(first, ["digest", "bytes"]).filter("archive <> keeper.archive OR offset <> keeper.offset").select("archive", "offset", "keeper")
+    light = stage(arcs.mapInArrow(run, schema), "payloads")
+    first = light.groupBy("digest", "bytes").agg(F.min(F.struct("unranked", "rank", "date", "archive", "offset", "url")).alias("keeper"), F.count("*").alias("n")).filter("n > 1")
+    return join_unique(light, first, ["digest", "bytes"], "n", light.count()).filter("archive <> keeper.archive OR offset <> keeper.offset").select("archive", "offset", "keeper")
 
 
 def convert(arcs: DataFrame, path: str, min_bytes: int = 0, order_header: str = "X-Page-Id") -> None:
-    """Write the WARC files of ``arcs`` (archive, content) to ``path``, gzipped."""
+    """Write the WARC files of ``arcs`` (archive, content) to ``path``, gzipped.
+
+    Records go to the writer in chunks of ``CHUNK_BYTES``, or of one record that is longer, and a
+    file takes ``FILE_CHUNKS`` of them: its size follows from bytes, not from a number of records.
+    """
 
     def split(batches):
         for batch in batches:
@@ -271,19 +286,29 @@ def convert(arcs: DataFrame, path: str, min_bytes: int = 0, order_header: str =
                 )
 
     def join(batches):
+        out, held = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["record"])
+
         for batch in batches:
-            out = []
             for k in range(len(batch)):
                 name, offset, head, body, keeper = (c[k].as_py() for c in batch.columns)
                 url, ip, date, mime, declared, version = head.rsplit(" ", 5)
                 refers = keeper and (record_id(keeper["archive"], keeper["offset"], keeper["url"]), keeper["url"], warc_date(keeper["date"]))
-                out.append(to_warc(name, ArcRecord(url, ip, date, mime, int(declared), offset, int(version), body), refers)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                record = to_warc(name, ArcRecord(url, ip, date, mime, int(declared), offset, int(version), body), refers)
+                if out and held + len(record) > CHUNK_BYTES:
+                    yield chunk()
+                    out, held = [], 0
+                out.append(record)
+                held += len(record)
+        if out:
+            yield chunk()
 
     records = arcs.mapInArrow(split, "archive string, offset long, head string, body binary")
     joined = records.join(keepers(arcs, min_bytes, order_header), ["archive", "offset"], "left").select("archive", "offset", "head", "body", "keeper")
     lines = joined.mapInArrow(join, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, id_header: str = "X-Page-Id") -> DataFrame:
@@ -324,6 +349,8 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = new_path(spark, "warc")
     convert(pages_to_arcs(pages), path, min_bytes)
     read = stage(read_warc(spark, path), "read")
-    light = read.select("record_id", F.col("page_id").alias("refers_to"), F.col("record_type").alias("kind")).filter("kind = 'response'").drop("kind")
-    wanted = read.select("refers_id").filter("refers_id IS NOT NULL").distinct().join(light.withColumnRenamed("record_id", "refers_id"), "refers_id")
-    return read.join(wanted, "refers_id", "left")
+    light = read.filter("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
+    revisits = read.filter("refers_id IS NOT NULL")
+    wanted = stage(revisits.groupBy("refers_id").agg(F.count("*").alias("n")).join(light, "refers_id"), "wanted")
+    found = join_unique(revisits, wanted, ["refers_id"], "n", revisits.count(), "left")
+    return found.unionByName(read.filter("refers_id IS NULL").withColumn("refers_to", F.lit(None).cast("long")))

@@ -1,19 +1,24 @@
 """Best-fit packing of tokenized documents by a grouping genetic algorithm on islands.
 
-Documents become runs of token ids; runs over the capacity are cut. Pieces are dealt by hash into
-shards of bounded size. Each shard is bred on ``ISLANDS`` islands: an individual is a list of bins,
+Documents become runs of token ids; runs over the capacity are cut. Every piece has a number of its
+own, whose hash deals it into a shard of about ``SHARD`` pieces, so equal rows spread like others.
+Each shard is bred on ``ISLANDS`` islands for ``EPOCHS`` epochs: an individual is a list of bins,
 crossover injects whole well-filled bins of one parent into another, bins that hold a document
 twice are dissolved and their documents put back by best fit. After an epoch the best individual
-of each island migrates to the next one, and a last epoch gives the shard's packing. Bins that stay
-short of full are dissolved, and their pieces go into the shards of the next level, until one shard
-holds all that is left.
+of each island migrates to the next one. A shard whose best fit already meets the bound of no
+packing with fewer bins is left as it is.
+
+Bins that are short of full are dissolved, and their pieces go into the shards of the next level,
+until one shard holds all that is left. What counts as full is a free space, the same for all bins
+of a level; it doubles when a level fills hardly any bin, as sizes may leave nothing better.
 
 Island epochs are tasks over (shard, island) rows that carry sizes, not tokens; a lost executor
 costs the epochs of its shards.
 
 Defined results: a null text is an empty text and yields its end id alone; every row is a document
-of its own, also if its doc_id is null or repeated; an empty table gives no pieces; only doc_id and
-text are read.
+of its own, also if its doc_id is null or repeated; texts of any length are cut into pieces; pieces
+of one length are interchangeable, ties go by their numbers; an empty table gives no pieces; only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +38,10 @@ from termloom.llm.textblocks import blocks, lean, located_words
 
 CAPACITY = 4096
 SHARD = 4096
-ISLANDS = 2
+ISLANDS, EPOCHS = 4, 3
+#: Free space of a full bin, as a part of the capacity; it doubles after a level that leaves more
+#: than this share of its pieces in bins short of full.
+FREE, MOST_LEFT = 16, 0.75
 #: Entries that a worker remembers of the words it has tokenized.
 REMEMBERED = 200_000
 #: Entries that it keeps for its next partition.
@@ -164,13 +173,13 @@ def _tokenizer(path: str) -> ChunkTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Every document's pieces: at most ``capacity`` ids each, the last one may be shorter.
 
-    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit bytes.
+    ``uid`` numbers the pieces of a table that is written: partition and place. ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit bytes.
     """
     end = np.array([end_id], "<u4")
     schema = PIECES + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(tokenizer_path)
+        own, number = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, docs = [], batch.column("doc_id").to_pylist()
             for first, _, body, at in blocks(batch.column("text"), 1 << 20):
@@ -178,8 +187,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                     data = np.concatenate([ids, end]).tobytes()
                     for p, where in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[where : where + 4 * capacity]
-                        crc = zlib.crc32(part)
-                        rows.append((doc, p, where // 4, len(part) // 4, crc, (crc << 20 ^ where ^ (doc or 0) * 0x9E3779B1) & 0x7FFFFFFFFFFFFFFF, *[part] * with_ids))
+                        rows.append((doc, p, where // 4, len(part) // 4, zlib.crc32(part), number, *[part] * with_ids))
+                        number += 1
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
@@ -253,10 +262,26 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
     return _best_fit_decreasing(sizes, displaced, capacity, injected + kept[cut:])
 
 
-def breed(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]], population: int = 4, rounds: int = 6) -> list[list[int]]:
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """A number of bins that no packing goes below, by sizes above and below half of a bin.
+
+    For a smallest size a that still counts: sizes over half a bin have a bin each, and those of at
+    least a and at most half go into what the bins of sizes up to capacity - a leave free, or more bins.
+    """
+    s = np.sort(np.asarray(sizes, np.int64))
+    total = np.concatenate([[0], np.cumsum(s)])
+    half = int(np.searchsorted(s, capacity // 2, "right"))
+    a = np.concatenate([[0], np.unique(s[:half])])
+    at, top = np.searchsorted(s, a), np.maximum(np.searchsorted(s, capacity - a, "right"), half)
+    spare = (top - half) * capacity - (total[top] - total[half])
+    more = -(-np.maximum(total[half] - total[np.minimum(at, half)] - spare, 0) // capacity)
+    return int((len(s) - half + more).max()) if len(s) else 0
+
+
+def breed(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]], population: int = 6, rounds: int = 12) -> list[list[int]]:
     """One island's epoch: the best individual found. Stops at the bound that no packing beats."""
     rng = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
+    least = fewest_bins(sizes, capacity)
     pool = [p for p in start if p]
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     if not pool:
@@ -279,7 +304,7 @@ def breed(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]
     return pool[max(range(len(pool)), key=score.__getitem__)]
 
 
-def _epoch(capacity: int, islands: int, last: bool):
+def _epoch(capacity: int, epoch: int):
     """A (shard, island) row's epoch; the individual is the bin of each piece."""
 
     def bins_of(places: np.ndarray) -> list[list[int]]:
@@ -292,12 +317,12 @@ def _epoch(capacity: int, islands: int, last: bool):
             for row in batch.to_pylist():
                 sizes = row["sizes"]
                 start = [bins_of(np.frombuffer(p, "<i4")) for p in row["start"] or []]
-                best = breed(sizes, capacity, row["shard"] * 31 + row["island"] * 7 + 1 + last, start)
+                best = breed(sizes, capacity, (row["shard"] * ISLANDS + row["island"]) * EPOCHS + epoch, start)
                 places = np.empty(len(sizes), "<i4")
                 for b, items in enumerate(best):
                     places[items] = b
                 fit = _fitness(best, sizes, capacity)
-                out.append((row["shard"], (row["island"] + 1) % islands, row["sizes"], [places.tobytes()], float(fit[0]) * 1e6 + fit[1]))
+                out.append((row["shard"], row["island"], row["sizes"], [places.tobytes()], float(fit[0]) * 1e6 + fit[1]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "island", "sizes", "start", "fit"])
@@ -308,9 +333,9 @@ def _epoch(capacity: int, islands: int, last: bool):
 _ISLAND = "shard long, island int, sizes array<int>, start array<binary>, fit double"
 
 
-def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+def _dealt(rows: DataFrame, shards: int, level: int) -> DataFrame:
     """Pieces in shards of about ``SHARD``, one row each, in an order that a rerun repeats."""
-    spread = F.pmod(F.xxhash64("uid", "piece", "length"), F.lit(shards)).alias("shard")
+    spread = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).alias("shard")
     item = F.struct("length", "uid", "piece", "start", "doc_id", "ids_crc32")
     return rows.groupBy(spread).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
 
@@ -318,21 +343,20 @@ def _dealt(rows: DataFrame, shards: int) -> DataFrame:
 def _breed_shards(dealt: DataFrame, capacity: int) -> DataFrame:
     """(shard, places): the best packing of each shard over all islands."""
     sizes = F.transform("items", lambda i: i["length"].cast("int")).alias("sizes")
-    every = dealt.select("shard", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), sizes, F.lit(None).cast("array<binary>").alias("start"))
-    first = every.mapInArrow(_epoch(capacity, ISLANDS, False), _ISLAND)
-    # the elite of island k is bred with island k + 1's own: its packing, and the elite that came
-    own = first.select("shard", F.pmod(F.col("island") - 1, F.lit(ISLANDS)).cast("int").alias("island"), "sizes", "start")
-    came = first.select("shard", "island", F.col("start").alias("elite"))
-    second = own.join(came, ["shard", "island"]).select("shard", "island", "sizes", F.concat("start", "elite").alias("start")).mapInArrow(_epoch(capacity, ISLANDS, True), _ISLAND)
-    return second.groupBy("shard").agg(F.max_by("start", F.struct("fit", "island"))[0].alias("places"))
+    now = dealt.select("shard", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"), sizes, F.lit(None).cast("array<binary>").alias("start"))
+    for epoch in range(EPOCHS):
+        bred = now.mapInArrow(_epoch(capacity, epoch), _ISLAND)
+        # an island goes on with its own best and the elite of the one before it
+        came = bred.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("start").alias("elite"))
+        now = bred.join(came, ["shard", "island"]).select("shard", "island", "sizes", F.concat("start", "elite").alias("start"))
+    return bred.groupBy("shard").agg(F.max_by("start", F.struct("fit", "island"))[0].alias("places"))
 
 
-def _placed(capacity: int, level: int, last: bool):
-    """Pieces with sequence_id and offset; those of bins that go on have neither."""
+def _placed(capacity: int, level: int, free: int):
+    """Pieces with sequence_id and offset, and whether their bin is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "uid", "sequence_id", "offset", "full"]
         for batch in batches:
             for shard, items, places in zip(batch.column("shard").to_pylist(), batch.column("items"), batch.column("places"), strict=True):
                 flat = items.values
@@ -345,32 +369,33 @@ def _placed(capacity: int, level: int, last: bool):
                 new[1:] = p[1:] != p[:-1]
                 before = np.cumsum(s) - s
                 offset = before - np.maximum.accumulate(np.where(new, before, 0))
-                used = np.bincount(place, size)
-                # full bins stay, and the fuller three quarters in any case, so that every level is smaller
-                settled = (used >= capacity - capacity // 512) | (np.argsort(np.argsort(-used, kind="stable")) < 0.75 * len(used))
-                done = np.ones(len(p), bool) if last else settled[p]
-                seq = (np.int64(level) << np.int64(56)) + (np.int64(shard) << np.int64(16)) + p
+                full = np.bincount(place, size) >= capacity - free
+                # 2^20 bins a shard, 2^36 shards a level
+                seq = (np.int64(level) << np.int64(56)) + (np.int64(shard) << np.int64(20)) + p
                 index = pa.array(order)
-                yield pa.RecordBatch.from_arrays([*[cols[n].take(index) for n in names[:6]], pa.array(seq, mask=~done), pa.array(offset, mask=~done)], names)
+                yield pa.RecordBatch.from_arrays([*[cols[n].take(index) for n in names[:6]], pa.array(seq), pa.array(offset), pa.array(full[p])], names)
 
     return run
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``PIECES`` rows with sequence_id and offset."""
-    done, level = None, 0
+    """``PIECES`` rows with sequence_id and offset; ``uid`` must tell all rows apart."""
+    done, level, free = None, 0, capacity // FREE
     rows = stage(rows, "pieces")
+    n = rows.count()
     while True:
-        n = rows.count()
         shards = max(1, -(-n // SHARD))
-        dealt = stage(_dealt(rows, shards), "shards")
-        packed = dealt.join(_breed_shards(dealt, capacity), "shard").mapInArrow(_placed(capacity, level, shards == 1), PIECES + ", sequence_id long, offset long")
+        dealt = stage(_dealt(rows, shards, level), "shards")
+        packed = dealt.join(_breed_shards(dealt, capacity), "shard").mapInArrow(_placed(capacity, level, free), PIECES + ", sequence_id long, offset long, full boolean")
         packed = stage(packed, "packed")
-        fixed = packed.filter("sequence_id IS NOT NULL")
+        left = packed.filter("NOT full").count()
+        last = shards == 1 or left == 0
+        fixed = (packed if last else packed.filter("full")).drop("full")
         done = fixed if done is None else done.unionByName(fixed)
-        if shards == 1:
+        if last:
             return done
-        rows, level = packed.filter("sequence_id IS NULL").drop("sequence_id", "offset"), level + 1
+        free = max(1, 2 * free) if left > MOST_LEFT * n else free
+        rows, n, level = packed.filter("NOT full").drop("sequence_id", "offset", "full"), left, level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

@@ -85,6 +85,36 @@ def test_archive_round_trip(spark):
     assert arc_warc.archive_pages(empty).collect() == []
 
 
+def test_page_ids_of_any_size(spark):
+    ids = [9000000000000000001, -9000000000000000001, 2**63 - 1, -(2**63), 1 << 62, 0, -5]
+    pages = spark.createDataFrame([(i, "u", h) for i in ids for h in (f"only {i}", "same")] + [(None, "u", "same"), (None, "u", "alone")], "page_id long, url string, html string")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in arc_warc.archive_pages(pages).collect()]
+    want = [(i, len(f"only {i}"), "response", None) for i in ids] + [(i, 4, "revisit" if i > -(2**63) else "response", -(2**63) if i > -(2**63) else None) for i in ids]
+    assert sorted(got, key=repr) == sorted([*want, (None, 4, "revisit", -(2**63)), (None, 5, "response", None)], key=repr)
+
+
+def test_one_gzip_member_a_record():
+    import gzip
+    import time
+
+    one = gzip.compress(b"x" * 300)
+    began = time.time()
+    assert arc_warc.inflated(one * 100_000) == b"x" * 30_000_000
+    assert arc_warc.inflated(one + b"\0\0" + gzip.compress(b"y" * 200_000)) == b"x" * 300 + b"y" * 200_000
+    assert time.time() - began < 60  # a copy of the rest for each member takes hours
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(arc_warc, "CHUNK_BYTES", 10_000)
+    monkeypatch.setattr(arc_warc, "FILE_CHUNKS", 2)
+    pages = spark.createDataFrame([(k, "u", str(k) * 900) for k in range(200)], "page_id long, url string, html string").repartition(1)
+    path = arc_warc.new_path(spark, "bounded")
+    arc_warc.convert(arc_warc.pages_to_arcs(pages), path)
+    sizes = [len(arc_warc.inflated(bytes(r.content))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 2 * 10_000
+    assert arc_warc.read_warc(spark, path).filter("intact").count() == 200
+
+
 # ---- 4: embeddings ----
 
 

@@ -401,6 +401,65 @@ def test_packing_over_many_shards(spark, monkeypatch):
     assert max(used.values()) <= 4096 and len(used) <= 1.02 * -(-sum(sizes) // 4096) + 1
 
 
+def test_packing_of_many_equal_rows(spark):
+    alike = spark.range(150_000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "40L AS length", "5L AS ids_crc32", "id AS uid")
+    others = spark.range(30_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "2500L + id % 1500 AS length", "6L AS ids_crc32", "id + 150000 AS uid")
+    got = packing.pack(alike.union(others)).select("sequence_id", "offset", "length").toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) == 180_000
+    ends = got.groupby("sequence_id")["length"].cumsum()
+    assert ((ends - got["length"]) == got["offset"]).all() and ends.max() <= 4096
+    lengths = [40] * 150_000 + [2500 + k % 1500 for k in range(30_000)]
+    assert got["sequence_id"].nunique() <= 1.002 * packing.fewest_bins(lengths, 4096) + 1
+
+
+def triplets(seed, n=20, capacity=100):
+    """Sizes of which three fill a bin: best fit in order of size misses most of these."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(26, 49)
+        b = min(rng.randint(26, capacity - a - 1), capacity - a - 20)
+        sizes += [a, b, capacity - a - b]
+    return sizes
+
+
+def test_breeding_beats_best_fit(spark):
+    fewer = 0
+    for seed in range(12):
+        sizes = triplets(seed)
+        first = packing._best_fit_decreasing(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 100)
+        alone, bred = packing.breed(sizes, 100, seed, [], 6, 0), packing.breed(sizes, 100, seed, [], 6, 60)
+        assert 20 == packing.fewest_bins(sizes, 100) <= len(bred) <= len(alone) <= len(first)
+        assert sorted(i for b in bred for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 100 for b in bred)
+        fewer += len(bred) < len(alone)  # by crossover, not by another start
+    assert fewer >= 3
+    sizes = triplets(13)
+    rows = spark.createDataFrame([(k, 0, 0, n, k, k) for k, n in enumerate(sizes)], packing.PIECES)
+    used = packing.pack(rows, 100).select("sequence_id").distinct().count()
+    assert used < len(packing._best_fit_decreasing(sizes, sorted(range(60), key=lambda i: -sizes[i]), 100)) == 22
+
+
+def test_fewest_bins_is_a_bound():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(0, 8))]
+        best = len(sizes)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + sizes[k] <= 10:
+                    place(k + 1, [*bins[:b], bins[b] + sizes[k], *bins[b + 1 :]])
+            place(k + 1, [*bins, sizes[k]])
+
+        place(0, [])
+        assert -(-sum(sizes) // 10) <= packing.fewest_bins(sizes, 10) <= best
+
+
 def test_crossover_keeps_every_document_once():
     rng = random.Random(1)
     sizes = [rng.randrange(1, 60) for _ in range(80)]
