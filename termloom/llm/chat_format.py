@@ -5,20 +5,22 @@ as the assistant and all others as users with a name; the mask marks what the as
 including the mark that ends a turn. Roles in ``context_roles`` are no participants: they are
 rendered as they are in every perspective.
 
-Conversations of more than ``block_turns`` turns come in blocks of consecutive turn numbers, so
-that no task holds an unbounded conversation; the renderings of a perspective's blocks, in order,
-are its dialogue. Turns without a number come first, in block -1 if there are blocks.
+A rendering comes in blocks of ``block_turns`` turns by their place in the dialogue, for every
+conversation alike, so that no task ever holds an unbounded one: the blocks 0 to n_blocks - 1 of a
+perspective, in order, are its dialogue, and most dialogues are one block. Places come from counts
+of turn-number ranges and a sort inside a range.
 
 Defined results: a null text is empty, a null role is the participant ``unknown``; rows without a
-conv_id belong to no dialogue and are left out; turns with one number are in order of role and
-text, and repeated rows are repeated; a conversation of context alone has no perspective; an empty
-table gives an empty result; only the named columns are read. ``<|`` inside a text is written
-``< |``, so that texts can't forge marks; names keep no white space and no ``<|>``.
+conv_id belong to no dialogue and are left out; turns are in order of number (those without one
+first), then role and text; repeated rows are repeated; texts of any length are rendered whole; a
+conversation of context alone has no perspective; an empty table gives an empty result; only the
+named columns are read. ``<|`` inside a text is written ``< |``, so that texts can't forge marks;
+names keep no white space and no ``<|>``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 256
@@ -31,22 +33,29 @@ def speaker_name(role: Column) -> Column:
 
 
 def rotate(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """conv_id, perspective, block, n_turns, rendered, mask_runs and n_masked.
+    """conv_id, perspective, block, n_blocks, n_turns, rendered, mask_runs and n_masked.
 
     ``mask_runs`` are the lengths, in code points, of what is not (``u``) and what is (``m``)
     masked for training, in turn from the start of ``rendered``.
     """
     rows = turns.filter("conv_id IS NOT NULL").select(
         "conv_id",
+        F.floor(F.col("turn").cast("long") / block_turns).alias("span"),
         F.col("turn").cast("long").alias("turn"),
         speaker_name(F.col("role")).alias("who"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
     )
+    spans = rows.groupBy("conv_id", "span").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("conv_id").orderBy("span")
+    before = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), before.alias("before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("size"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "span").orderBy("turn", "who", "said")) - 1
+    placed = rows.withColumn("within", within).join(spans, (F.col("conv_id") == F.col("c")) & F.col("span").eqNullSafe(F.col("s")))
+    block = F.floor((F.col("before") + F.col("within")) / block_turns)
+    blocks = placed.groupBy("conv_id", block.alias("block"), F.ceil(F.col("size") / block_turns).alias("n_blocks")).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
     context = F.col("who").isin(*context_roles) if context_roles else F.lit(False)
-    whole = rows.groupBy("conv_id").agg(F.count("*").alias("size"), F.collect_set(F.when(~context, F.col("who"))).alias("people")).filter(F.size("people") > 0)
-    block = F.when(F.col("size") <= block_turns, F.lit(0).cast("long")).otherwise(F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("long"))
-    blocks = rows.join(whole, "conv_id").withColumn("block", block).groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"), F.first("people").alias("people"))
-    views = blocks.select("conv_id", "block", "turns", F.explode("people").alias("perspective"))
+    people = rows.filter(~context).select("conv_id", F.col("who").alias("perspective")).distinct()
+    views = blocks.join(people, "conv_id")
 
     def header(t: Column) -> Column:
         plain = t["who"].isin(*context_roles) if context_roles else F.lit(False)
@@ -62,7 +71,7 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), block
 
     masked = F.aggregate(F.filter("turns", lambda t: t["who"] == F.col("perspective")), F.lit(0).cast("long"), lambda n, t: n + F.char_length(body(t)))
     return views.select(
-        "conv_id", "perspective", "block",
+        "conv_id", "perspective", "block", "n_blocks",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(header(t), body(t), F.lit("\n"))), "").alias("rendered"),
         F.array_join(F.transform("turns", run), " ").alias("mask_runs"),

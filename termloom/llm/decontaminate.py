@@ -9,12 +9,16 @@ survives on at least one path, which makes the search exact.
 
 Both sides are compared as words: case is folded, and each run of other characters is one space.
 
-The items are broadcast in blocks of at most ``block_chars`` characters, one pass over the
-documents for each.
+In an item of fewer than ``min_chars`` characters an edit makes another item of it: such items are
+found where they are whole words without any edit.
 
-Defined results: null or empty texts and items match nothing, and so do items of fewer than
-``min_chars`` characters; repeated items and documents are each reported; a null doc_id or item_id
-is reported as null; empty tables give an empty result; only the named columns are read.
+The distinct item texts are broadcast in blocks of about ``block_chars`` characters, one pass over
+the documents for each; ids are joined to what was found.
+
+Defined results: null or empty texts and items match nothing; repeated items and documents are each
+reported; of equally good places the first is reported; texts of any length are searched whole; a
+null doc_id or item_id is reported as null; empty tables give an empty result; only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -79,12 +83,14 @@ def _scan(eq: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]:
 class Item:
     """One item's tree of pieces."""
 
-    def __init__(self, number: int, text: str, rate: float) -> None:
+    def __init__(self, number: int, text: str, rate: float, min_chars: int = 0) -> None:
         self.number, self.text = number, text
+        #: found as whole words only
+        self.short = len(text) < min_chars
         #: first, last, budget, parent, and bits of each character for Myers
         self.nodes: list[tuple[int, int, int, int, dict[str, int]]] = []
         self.leaves: list[int] = []
-        self._grow(0, len(text), int(len(text) * rate), -1)
+        self._grow(0, len(text), 0 if self.short else int(len(text) * rate), -1)
 
     def _grow(self, first: int, last: int, budget: int, parent: int) -> None:
         eq: dict[str, int] = {}
@@ -103,7 +109,10 @@ class Item:
     def verify(self, leaf: int, at: int, text: str) -> tuple[int, int] | None:
         """(distance, end in ``text``) of the item around its leaf found at ``at``."""
         first, _, _, node, _ = self.nodes[leaf]
-        found = (0, at + len(self.text)) if node < 0 else None
+        end = at + len(self.text)
+        if self.short and (text[at - 1 : at].strip() or text[end : end + 1].strip()):
+            return None
+        found = (0, end) if node < 0 else None
         while node >= 0:
             lo, hi, budget, parent, eq = self.nodes[node]
             begin = max(0, at - (first - lo) - budget)
@@ -117,11 +126,11 @@ class Item:
 class Matcher:
     """All items of a block and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 0) -> None:
         import ahocorasick
 
         self.ids = [i for i, _ in items]
-        self.items = [Item(n, t, rate) for n, (_, t) in enumerate(items)]
+        self.items = [Item(n, t, rate, min_chars) for n, (_, t) in enumerate(items)]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item in self.items:
             for leaf in item.leaves:
@@ -214,7 +223,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars:
     ``start`` and ``end`` are places in the document's text, ``places`` counts the spots.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [own.mapInArrow(_matching(block, rate), MATCHES) for block in _item_blocks(items, min_chars, block_chars)])
+    found = reduce(DataFrame.unionByName, [own.mapInArrow(_matching(block, rate, min_chars), MATCHES.replace("item_id", "key")) for block in _item_blocks(items, block_chars)])
+    ids = items.filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), F.col("item_id").cast("long").alias("item_id"))
+    return found.join(ids, "key").select(*[x.split()[0] for x in MATCHES.split(", ")])
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars: int = 20, block_chars: int = 500_000) -> DataFrame:
@@ -223,36 +234,35 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_char
     text = names.index("text")
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
     schema = plain.schema
-    for block in _item_blocks(items, min_chars, block_chars):
-        plain = plain.mapInArrow(_clean(block, rate, text), schema)
+    for block in _item_blocks(items, block_chars):
+        plain = plain.mapInArrow(_clean(block, rate, min_chars, text), schema)
     return plain.toDF(*names)
 
 
-def _item_blocks(items: DataFrame, min_chars: int, block_chars: int) -> Iterator:
-    """Broadcasts of (item_id, normalized text), each of about ``block_chars`` characters."""
+def _item_blocks(items: DataFrame, block_chars: int) -> Iterator:
+    """Broadcasts of (hash of a text, the text normalized), each of about ``block_chars`` characters."""
     spark = items.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = items.filter("text IS NOT NULL").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-total // block_chars) or 1
     for k in range(n_blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()
-        block = [(r.item_id, t) for r in rows if len(t := normalized(r.text)) >= max(min_chars, 1)]
-        yield spark.sparkContext.broadcast(sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        rows = texts.filter(F.pmod("key", F.lit(n_blocks)) == k).collect()
+        yield spark.sparkContext.broadcast(sorted((r.key, t) for r in rows if (t := normalized(r.text))))
 
 
-def _clean(shared, rate: float, text: int):
+def _clean(shared, rate: float, min_chars: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher(shared.value, rate, min_chars)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.matches(t.as_py()) for t in batch.column(text)], pa.bool_()))
 
     return run
 
 
-def _matching(shared, rate: float):
+def _matching(shared, rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
-        names = [x.split()[0] for x in MATCHES.split(", ")]
+        matcher = Matcher(shared.value, rate, min_chars)
+        names = [x.split()[0] for x in MATCHES.replace("item_id", "key").split(", ")]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
             rows = [

@@ -5,17 +5,21 @@ All languages share one table: a row is a bitmask of languages, a 4-gram sets it
 text, each language's hits are counted and corrected for that language's false positive rate; the
 highest corrected share decides.
 
-A language holds a 4-gram if it was seen there at least ``min_count`` times, and at no less than
-``share`` of the rate it has in the language where it is most frequent, so that a few mislabelled
-rows don't fill a filter. Counts cover all training rows.
+A language holds a 4-gram if it was seen there at least ``min_count`` times and makes up one in
+``RAREST`` of that language's 4-grams at least, and at no less than ``share`` of the rate it has in
+the language where it is most frequent, so that a few mislabelled rows don't fill a filter. Counts
+cover all training rows.
 
-The table has at most ``max_rows`` rows of one 64-bit word for each 64 languages (at most
-``MAX_LANGS``), which bounds what is broadcast.
+By arithmetic no language holds more than ``RAREST`` 4-grams, whatever the size of the corpus. The
+table's rows follow the fullest language, at ``BITS`` or more for each of its 4-grams, so filters
+never fill up and what is broadcast is at most 64 MB for each 64 languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text none of
 whose 4-grams is known, and ties, go to the language first in the alphabet; without training rows
 all is ``und``; rows with a null lang teach nothing; a null doc_id is not held out; rows
-that share a doc_id are each judged by themselves; an empty table gives an empty result.
+that share a doc_id are each judged by themselves; texts of any length are judged by all their
+4-grams; other columns come back as they are, whatever they are called; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import types as T
 from termloom.llm.staging import stage
 from termloom.llm.textblocks import blocks, lean, mix
 
-HASHES = 3
-MAX_LANGS = 256
+HASHES, BITS = 3, 12
+RAREST = 1 << 19
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[65:91] = np.arange(97, 123)
@@ -111,7 +115,7 @@ def _count(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[
 
 
 class LanguageModel:
-    """What prediction needs; its size is bounded by ``max_rows`` and ``MAX_LANGS``."""
+    """What prediction needs: the languages and the table of their bits."""
 
     def __init__(self, langs: list[str], table: np.ndarray) -> None:
         self.langs, self.table = langs, table
@@ -150,22 +154,21 @@ class LanguageModel:
         return names, score
 
 
-def learn(labelled: DataFrame, min_count: int = 3, share: float = 0.25, max_rows: int = 1 << 20) -> LanguageModel:
+def learn(labelled: DataFrame, min_count: int = 3, share: float = 0.25) -> LanguageModel:
     """Fit on every row of ``labelled`` (text, lang) whose lang is not null."""
     counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(lean(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [r.lang for r in totals.select("lang").orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = [r.lang for r in totals.select("lang").orderBy("lang").collect()]
     spark = labelled.sparkSession
     if not langs:
         return LanguageModel([], np.zeros((1, 1), np.uint64))
     numbers = spark.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, k int")
     rate = counts.join(F.broadcast(totals.join(F.broadcast(numbers), "lang")), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    chosen = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("n") >= min_count) & (F.col("rate") >= share * F.col("top"))).select("gram", "k")
-    n = max(chosen.count(), 1)
-    rows = min(max_rows, 1 << max(10, (n * 12 - 1).bit_length()))
+    chosen = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("n") >= min_count) & (F.col("n") * RAREST >= F.col("total")) & (F.col("rate") >= share * F.col("top"))).select("gram", "k")
+    chosen = stage(chosen, "chosen")
+    fullest = chosen.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    rows = 1 << max(10, (fullest * BITS - 1).bit_length())
     lanes = (len(langs) + 63) // 64
 
     def place(batches):
@@ -176,7 +179,7 @@ def learn(labelled: DataFrame, min_count: int = 3, share: float = 0.25, max_rows
                 yield pa.RecordBatch.from_arrays([pa.array(w), pa.array((k // 64).astype(np.int32)), pa.array((np.uint64(1) << (k % 64).astype(np.uint64)).astype(np.int64))], ["row", "lane", "bit"])
 
     placed = chosen.mapInArrow(place, "row long, lane int, bit long").groupBy("row", "lane").agg(F.bit_or("bit").alias("mask"))
-    got = placed.toArrow()  # at most max_rows * lanes rows
+    got = placed.toArrow()
     table = np.zeros((rows, lanes), np.uint64)
     table[np.asarray(got.column("row")), np.asarray(got.column("lane"))] = np.asarray(got.column("mask")).astype(np.uint64)
     return LanguageModel(langs, table)

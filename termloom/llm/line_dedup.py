@@ -5,13 +5,15 @@ hash and sorted inside a partition by document (largest first) and position, so
 streams over each line's occurrences: the first document keeps the line, the others lose it. What
 comes back is a run-length compressed keep bitmap per document, not text.
 
-A line that holds more than 1/``HEAVY`` of all spots would overfill a range. There are fewer than
-``HEAVY`` such lines by arithmetic, so their counts and keepers come from a partially aggregated
-group-by and are broadcast.
+A line with more spots than a quarter of a partition's share (or a thousandth of all) would overfill
+a range. There are fewer than four for each partition (or a thousand) of such lines by arithmetic,
+so their counts and keepers come from a partially aggregated group-by and are broadcast. The window
+over any other line holds less than that share, and spills.
 
 Defined results: a null text is one empty line; a row without doc_id takes no part, and keeps all
-its lines; repeated rows of a doc_id count as one document, each row has its own bitmap; an empty
-table gives an empty result; only the named columns are read, so extra columns can't clash.
+its lines; repeated rows of a doc_id count as one document, each row has its own bitmap; equal lines
+of the document that keeps them all stay; texts of any length are split whole; an empty table gives
+an empty result; only the named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,11 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.llm.skew import most_heavy
 from termloom.llm.staging import stage
 
-#: A line with more than one in so many spots goes by the broadcast route.
-HEAVY = 1000
-
 _STRIP = " \t\n\x0b\x0c\r"
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,7 +56,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
         "spots",
     )
     total = spots.count()
-    heavy = spots.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") * HEAVY > total).select("h1", "h2")
+    heavy = spots.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") * most_heavy(spots) > total).select("h1", "h2")
     heavy = F.broadcast(stage(heavy, "heavy"))
     known = (
         spots.join(heavy, ["h1", "h2"], "left_semi")

@@ -149,21 +149,21 @@ WITH turns AS (
   SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS said,
          coalesce(nullif(regexp_replace(role, '[ \t\n\x0B\f\r<|>]+', '_', 'g'), ''), 'unknown') AS who
   FROM conversations WHERE conv_id IS NOT NULL),
-sized AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS size FROM turns),
-placed AS (SELECT *, CASE WHEN size <= 256 THEN 0 ELSE coalesce(floor(turn / 256), -1) END::BIGINT AS block FROM sized),
+placed AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, said) - 1) // 256)::BIGINT AS block,
+                  ceil(count(*) OVER (PARTITION BY conv_id) / 256)::BIGINT AS n_blocks FROM turns),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM turns WHERE who <> 'system'),
 parts AS (
-  SELECT t.conv_id, p.perspective, t.block, t.turn, t.who, t.said, t.who = p.perspective AS own,
+  SELECT t.conv_id, p.perspective, t.block, t.n_blocks, t.turn, t.who, t.said, t.who = p.perspective AS own,
          '<|im_start|>' || CASE WHEN t.who = p.perspective THEN 'assistant' WHEN t.who = 'system' THEN 'system'
                                 ELSE 'user name=' || t.who END || chr(10) AS head,
          t.said || '<|im_end|>' AS body
   FROM placed t JOIN people p USING (conv_id))
-SELECT conv_id, perspective, block, count(*)::BIGINT AS n_turns,
+SELECT conv_id, perspective, block, n_blocks, count(*)::BIGINT AS n_turns,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, who, said) AS rendered,
        string_agg(CASE WHEN own THEN 'u' || length(head) || ' m' || length(body) || ' u1'
                        ELSE 'u' || (length(head) + length(body) + 1) END, ' ' ORDER BY turn NULLS FIRST, who, said) AS mask_runs,
        coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_masked
-FROM parts GROUP BY conv_id, perspective, block
+FROM parts GROUP BY conv_id, perspective, block, n_blocks
 """
 
 

@@ -8,6 +8,7 @@ lazy result may still read them.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         if jsc.getCheckpointDir().isEmpty():
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+            own = tempfile.mkdtemp(prefix="termloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            spark.sparkContext.setCheckpointDir(own)
         base = jsc.getCheckpointDir().get()
     return base.rstrip("/")
 

@@ -12,8 +12,9 @@ character, and none has a line feed, so no best path crosses a word's beginning
 a text's count is the sum over its words: words are counted once and remembered. Texts with a
 ``▁`` of their own, or other white space that a piece holds, are counted whole.
 
-Defined results: null and empty texts have 0 tokens; a null doc_id stays null; every row has its
-own result; an empty table gives an empty result; only doc_id and text are read.
+Defined results: null and empty texts have 0 tokens; a null doc_id stays null; every row, repeated
+or not, has its own result; texts of any length are counted whole, in memory of a multiple of the
+longest piece besides the text; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SPACE = "▁"
 #: Entries that a worker remembers.
 REMEMBERED = 400_000
 UNKNOWN_BELOW = 10.0
+#: A text of more bytes is counted in one run instead of word by word, without arrays of its bytes.
+LONG = 16 << 20
 
 
 def vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -59,6 +62,7 @@ class UnigramCounter:
         self.sticky = np.zeros(256, bool)
         self.sticky[[c.encode()[0] for c in self.controls]] = True
         self.unknown = min(s for _, s in pieces) - UNKNOWN_BELOW
+        self.longest = max(len(p) for p, _ in pieces)
         self.known: dict[tuple[int, int], int] = {}
 
     def count(self, s: str) -> int:
@@ -66,23 +70,28 @@ class UnigramCounter:
         n = len(s)
         if n == 0:
             return 0
-        score, pieces = [0.0] * (n + 1), [0] * (n + 1)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(s):
-            matches[end].append(match)
+        # rings over the last places that a piece can begin at: memory does not grow with the text
+        ring = self.longest + 1
+        score, pieces = [0.0] * ring, [0] * ring
+        found = self.automaton.iter(s)
+        last, match = next(found, (n, None))
         for end in range(1, n + 1):
+            here = []
+            while last == end - 1:
+                here.append(match)
+                last, match = next(found, (n, None))
             best, at, single = None, 0, False
-            for size, own in sorted(matches[end - 1], reverse=True):
-                got = score[end - size] + own
+            for size, own in sorted(here, reverse=True):
+                got = score[(end - size) % ring] + own
                 if best is None or got > best:
-                    best, at = got, pieces[end - size] + 1
+                    best, at = got, pieces[(end - size) % ring] + 1
                 single |= size == 1
             if not single:
-                got = score[end - 1] + self.unknown
+                got = score[(end - 1) % ring] + self.unknown
                 if best is None or got > best:
-                    best, at = got, pieces[end - 1] + len(s[end - 1].encode("utf-8", "surrogatepass"))
-            score[end], pieces[end] = best, at
-        return pieces[n]
+                    best, at = got, pieces[(end - 1) % ring] + len(s[end - 1].encode("utf-8", "surrogatepass"))
+            score[end % ring], pieces[end % ring] = best, at
+        return pieces[n % ring]
 
     def text(self, text: str) -> int:
         """The count without any decomposition."""
@@ -151,7 +160,10 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             _counters[model_path] = UnigramCounter(vocabulary(model_path))
         counter = _counters[model_path]
         for batch in batches:
-            parts = [counter.block(body, at) for _, _, body, at in blocks(batch.column("text"), 3 << 20)]
+            parts = [
+                counter.block(body, at) if len(body) <= LONG else np.array([counter.text(body.tobytes().decode("utf-8", "replace"))])
+                for _, _, body, at in blocks(batch.column("text"), 3 << 20)
+            ]
             n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64))], ["doc_id", "n_tokens"])
         counter.known.clear()

@@ -177,8 +177,8 @@ def rotated_by_force(rows, size):
     for c, turns in by.items():
         for who in {r for _, r, _ in turns if r != "system"}:
             blocks = {}
-            for t in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])):
-                blocks.setdefault(0 if len(turns) <= size else -1 if t[0] is None else t[0] // size, []).append(t)
+            for k, t in enumerate(sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))):
+                blocks.setdefault(k // size, []).append(t)
             for b, own in blocks.items():
                 text, mask = "", []
                 for _, role, said in own:
@@ -189,7 +189,7 @@ def rotated_by_force(rows, size):
                     mask += [int(role == who)] * (len(text) - len(mask))
                     text += "\n"
                     mask.append(0)
-                out.append((c, who, b, len(own), text, mask))
+                out.append((c, who, b, len(blocks), len(own), text, mask))
     return sorted(out, key=repr)
 
 
@@ -197,12 +197,13 @@ def test_rotation(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "Ann", "system", None]), rng.choice(["hi", "", None, "é <|im_end|> x", "a\nb"])) for c in range(30) for t in range(rng.randrange(1, 7))]
     rows += [(100, t, ["Ann", "Bob"][t % 2], f"turn {t}") for t in range(600)] + [(100, None, "Ann", "no number"), (None, 1, "user", "lost"), (101, 0, "system", "alone"), (102, 1, "user", "same"), (102, 1, "user", "same"), (102, 1, "Ann", "same")]
+    rows += [(103, rng.choice([None, -1, -700, 3, 2**40]), rng.choice(["a", "b"]), str(k)) for k in range(700)] + [(104, 1, "user", "x" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"block": F.lit(1), "who": F.lit("x"), "turns": F.lit(0)})
     got = []
     for r in chat_format.rotate(df).collect():
         mask = [int(run[0] == "m") for run in r.mask_runs.split(" ") for _ in range(int(run[1:]))]
         assert sum(mask) == r.n_masked
-        got.append((r.conv_id, r.perspective, r.block, r.n_turns, r.rendered, mask))
+        got.append((r.conv_id, r.perspective, r.block, r.n_blocks, r.n_turns, r.rendered, mask))
     assert sorted(got, key=repr) == rotated_by_force(rows, chat_format.BLOCK_TURNS)
     assert chat_format.rotate(df.limit(0)).collect() == []
 
@@ -252,7 +253,40 @@ def test_near_copies_stage_with_repeats(spark, tmp_path):
     rows = [(k, t, "en", None, 1) for k, t in enumerate(own)] + [(2, own[2], "en", None, 1), (None, own[0], None, None, 0), (3, "quite another text than that", "en", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
-    assert sorted((r.doc_id for r in out), key=repr) == sorted([0, 1, 2, 3, 4, None], key=repr)
+    assert sorted((r.doc_id for r in out), key=repr) == sorted([0, 1, 2, 3, 3, 4, None], key=repr)  # 3 names two texts
+
+
+def test_near_copies_stage_with_other_texts_of_one_id(spark, tmp_path):
+    """Every text that is like no other stays, also under a doc_id that has another one."""
+    own = copies(5, 6, 1, 30, 0)
+    rows = [(1, own[0]), (1, own[1]), (1, own[0]), (2, own[1]), (3, own[2] + " tail"), (3, own[2]), (4, own[3]), (0, own[0]), (5, None), (5, ""), (6, own[4]), (None, own[4])]
+    docs = spark.createDataFrame([(d, t, "en", None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    kept = sorted(((r.doc_id, r.text) for r in out), key=repr)
+    assert [r for r in kept if r[0] not in (3, 5)] == sorted([(0, own[0]), (1, own[1]), (4, own[3]), (6, own[4]), (None, own[4])], key=repr)
+    assert sum(d == 3 for d, _ in kept) == 1 and {t for d, t in kept if d == 5} == {None, ""}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_clashing_names_and_without_rows(spark, tmp_path, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rng = random.Random(6)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))
+    spark.createDataFrame([(1, item), (2, None), (1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = copies(6, 8, 1, 30, 0)
+    texts = [*own, own[0], None, "", "the LINE that several documents share\n" + own[1][:60], "the line that several documents share", " The line that several documents share", item + " x", own[2] + " " + "word " * 60_000]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)] + [(None, own[3], None, None, None), (0, own[0], "en", "s", 1)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ["tl_lang", "tl_score", "tl_row_key", "tl_runs", "tl_lines", "tl_flags", "tl_kept", "tl_n_lines", "tl_n_dropped", "tl_times", "tl_row", "c0", "c1", "component_id", "doc", "key", "a.b"]
+    wide = plain.withColumns({c: F.lit(k) for k, c in enumerate(clashing)})
+    want = [tuple(r) for r in stage(spark, plain, str(tmp_path)).collect()]  # a stage deletes what the one before it staged
+    out = stage(spark, wide, str(tmp_path))
+    got = [tuple(r) for r in out.collect()]
+    if name != "packing":
+        assert out.columns == wide.columns and 0 < len(got) <= len(rows)
+        assert all(r[5:] == tuple(range(len(clashing))) for r in got)
+    assert sorted((r[:5] for r in got), key=repr) == sorted((r[:5] for r in want), key=repr)
+    assert stage(spark, plain.limit(0), str(tmp_path)).collect() == []
 
 
 def test_staging(spark):

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +82,13 @@ def test_line_dedup(spark, seed):
     assert sorted(map(tuple, got), key=repr) == lines_by_force(rows)
 
 
+def test_line_dedup_stays_in_the_jvm(spark):
+    plan = line_dedup.line_dedup(table(spark, [(1, "x" * 30)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_line_dedup_splits_heavy_and_light(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HEAVY", 4)
+    monkeypatch.setattr(line_dedup, "most_heavy", lambda df: 4)
     rows = [(k, "a line that everyone has got\n" + f"a line that {k % 4} shares with few\nown {k} line of this document") for k in range(20)]
     got = line_dedup.line_dedup(table(spark, rows)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256)).collect()
     assert sorted(map(tuple, got), key=repr) == lines_by_force(rows)
@@ -231,7 +238,8 @@ def test_leaks(spark):
                 item[at : at + rng.randrange(2)] = rng.choice(["", "z", "q"])
             text += " -- " + "".join(item).upper().replace(" ", "\n") + "! " + text[::-1]
         rows.append((k, text))
-    rows += [(200, None), (201, ""), (None, items[3][1]), (3, rows[3][1])]
+    rows += [(200, None), (201, ""), (None, items[3][1]), (3, rows[3][1]), (202, "Short."), (203, "in short, no"), (204, "shorter shor t ashort")]
+    rows += [(205, "x" * 3_000 + " " + items[5][1] + " " + "y z " * 500)]
     want = []
     for d, t in rows:
         n = decontaminate.normalized(t)
@@ -239,6 +247,8 @@ def test_leaks(spark):
             m = decontaminate.normalized(x)
             if len(m) >= 20 and n and (e := distance_by_force(m, n)) <= int(len(m) * 0.1):
                 want.append((d, i, e))
+            elif 0 < len(m) < 20 and f" {m} " in f" {n} ":  # short items: as whole words, without an edit
+                want.append((d, i, 0))
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(table(spark, rows), frame).collect()
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in got), key=repr) == sorted(want, key=repr) and len(want) > 20
@@ -271,6 +281,34 @@ def test_token_counts(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_token_counts_of_long_words(spark):
+    """A word of any length costs memory for its longest piece; rings give what whole arrays give."""
+    pieces = [("▁", -2.0), ("a", -3.0), ("ab", -3.5), ("abab", -5.0), ("b", -4.0), ("▁ab", -4.0)]
+    counter = token_counts.UnigramCounter(pieces)
+    rng = random.Random(2)
+
+    def whole(s):
+        best = [(0.0, 0)] + [None] * len(s)
+        for end in range(1, len(s) + 1):
+            options = [(best[end - len(p)][0] + x, len(p), best[end - len(p)][1] + 1) for p, x in pieces if end >= len(p) and s[end - len(p) : end] == p]
+            if not any(size == 1 for _, size, _ in options):
+                options.append((best[end - 1][0] + counter.unknown, 0, best[end - 1][1] + len(s[end - 1].encode())))
+            top = max(options, key=lambda o: (o[0], o[1]))
+            best[end] = (top[0], top[2])
+        return best[-1][1]
+
+    for _ in range(60):
+        s = "▁" + "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 40)))
+        assert counter.count(s) == whole(s)
+    import tracemalloc
+
+    long = "ab" * 400_000
+    tracemalloc.start()
+    counter.count(long)
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def test_token_ties():
     # of equal scores the piece that begins first stays
     c = token_counts.UnigramCounter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aba", -3.0)])
@@ -304,6 +342,48 @@ def test_language_is_not_seen(spark):
     assert [r.tl_lang for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == [r.tl_lang for r in language_id.predict(swapped, model).orderBy("doc_id").collect()] == ["en", "fr"]
 
 
+def test_language_against_exact_sets(spark):
+    """Predictions and scores are those of exact 4-gram sets, but for the filters' false positives."""
+    rng = random.Random(9)
+    kinds = {"en": ["the", "ing", "tion", "whst"], "fr": ["eaux", "éa", "que", "ière"], "de": ["sch", "und", "ver", "ü"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(kinds[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(k, text(lang, rng.randrange(1, 20)) + rng.choice(["", " 12", "\n\n", " " + text("fr", 3)]), lang) for k, lang in enumerate(list(kinds) * 60)]
+    rows += [(7, rows[7][1], "de"), (8, "The the  THE", "en"), (300, text("de", 60_000), "de"), (301, "a", None), (302, "é", "fr")]
+
+    def grams(t):
+        low = re.sub(rb"[^a-z\x80-\xff]+", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+        return [low[i : i + 4] for i in range(len(low) - 3)] or [(low + b"    ")[:4]]
+
+    counts = {}
+    for d, t, lang in rows:
+        if lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            for g in grams(t):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    rate = {x: {g: n / sum(own.values()) for g, n in own.items()} for x, own in counts.items()}
+    sets = {x: {g for g, n in own.items() if n >= 3 and rate[x][g] >= 0.25 * max(r.get(g, 0) for r in rate.values())} for x, own in counts.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"tl_lang": F.lit("?"), "c0": F.lit(1)})
+    model = language_id.learn(docs.filter(~language_id.held_out()))
+    got = language_id.predict(docs.select("doc_id", "text"), model).collect()
+    shares = sorted((d, t, {x: sum(g in s for g in grams(t)) / len(grams(t)) for x, s in sets.items()}) for d, t, _ in rows)
+    assert len(got) == len(rows)
+    for r, (d, t, share) in zip(sorted(got, key=lambda r: (r.doc_id, r.text)), shares, strict=True):
+        order = sorted(share, key=lambda x: (-share[x], x))
+        assert (r.doc_id, r.text) == (d, t) and abs(r.tl_score - share[order[0]]) <= 0.1
+        assert r.tl_lang == order[0] or share[order[0]] - share[r.tl_lang] <= 0.1
+    wide = language_id.predict(docs, model)
+    assert wide.columns == [*docs.columns, "tl_lang", "tl_score"] and wide.count() == len(rows)
+
+
+def test_many_languages(spark):
+    names = [f"l{k:03}" for k in range(300)]
+    words_of = {x: " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{a}{a}q" for a in "bcdfg") for k, x in enumerate(names)}
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(words_of.items())], "doc_id long, text string, lang string")
+    model = language_id.learn(docs, min_count=1)
+    assert model.table.shape[1] == 5 and max(model.false) < 0.05
+    assert [r.tl_lang for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == names
+
+
 # ---- 9: class scores ----
 
 
@@ -329,6 +409,56 @@ def test_class_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("top", [3, None])
+def test_class_scores_by_force(spark, top):
+    """The score of every text from counts over plain word lists, given the classes found."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["the", "of", "La", "que", "des", "eaux", "est"]) for _ in range(rng.randrange(0, 20)))) for k in range(60)]
+    rows += [(60, None), (None, "the of"), (5, "the THE"), (61, "never seen"), (62, "la " * 30_000)]
+    docs = table(spark, rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", class_lm.held_out())
+    coded = class_lm.stage(class_lm.encode(docs), "blocks")
+    counts = class_lm.word_counts(coded)
+    own = (counts if top is None else counts.orderBy(F.desc("c"), "h").limit(top)).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    slots = class_lm.Slots(own)
+    classes = class_lm.cluster(coded, slots)
+
+    def cls(w):
+        body = np.frombuffer(w.encode(), np.uint8)
+        return int(classes[slots.of(textblocks.words(body, np.array([0, len(body)]))[0])[0]])
+
+    end, learn = class_lm.CLASSES, [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    steps, freq, words_in, seen = {}, {}, {}, {}
+    chain = [end]
+    for t in learn:
+        for w in words(t):
+            seen[w] = seen.get(w, 0) + 1
+            chain.append(cls(w))
+        chain.append(end)
+    for a, b in itertools.pairwise(chain):
+        steps[a, b] = steps.get((a, b), 0) + 1
+        freq[b] = freq.get(b, 0) + 1
+    for w in seen:
+        words_in.setdefault(cls(w), []).append(w)
+    n = len(chain) - 1
+
+    def step(a, b):
+        share = (freq.get(b, 0) + 1) / (n + end + 1)
+        return (steps.get((a, b), 0) + class_lm.PRIOR * share) / (sum(c for (x, _), c in steps.items() if x == a) + class_lm.PRIOR)
+
+    def emit(w):
+        same = words_in.get(cls(w), [])
+        return (seen.get(w, 0) + 1) / (sum(seen[x] for x in same) + len(same) + 1)
+
+    assert all(abs(sum(step(a, b) for b in range(end + 1)) - 1) < 1e-9 for a in (0, 1, end))
+    want = []
+    for d, t in rows:
+        path = [end, *map(cls, words(t)), end]
+        moves, said = Counter(itertools.pairwise(path)), Counter(words(t))
+        want.append((d, round(sum(c * math.log10(step(*m)) for m, c in moves.items()) + sum(c * math.log10(emit(w)) for w, c in said.items()), 4)))
+    got = class_lm.score_documents(table(spark, rows), top=top).collect()
+    assert sorted(((r.doc_id, round(r.score, 4)) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_class_model_sums_to_one(spark, monkeypatch):
     """Probabilities of all words after any word, and of an unseen one per class, sum to one."""
     rows = [(k, "a b a c" if k % 2 else "x y x z") for k in range(40)]
