@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before it k
 written as Parquet and read again as the next one's docs. All but the last return the columns of
 ``documents``. Tables that a stage leaves in the shared folder are deleted when the next one
 starts, as its result is written by then.
+
+Defined results of every stage: columns other than doc_id, text, lang and n_chars go along as they
+are, whatever they are called; an empty table gives no rows; rows without doc_id take no part in
+what compares documents, and stay; texts of any length are worked on whole. What a stage makes of
+null and empty texts, ties and repeated rows is said at the stage.
 """
 
 from __future__ import annotations
@@ -25,6 +30,12 @@ MIN_SCORE = 0.2
 _left = [0, 0]
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as c0, c1, ..., which nothing clashes with, and the number of each name."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain, dict(zip(docs.columns, plain.columns, strict=True))
+
+
 def _tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,45 +50,76 @@ def _tidy(stage: Stage) -> Stage:
 
 @_tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or like no language learned, go."""
-    model = language_id.learn(docs.filter(~language_id.held_out()))
-    judged = language_id.predict(docs, model)
-    return judged.filter((F.col("tl_lang") != "und") & (F.col("tl_score") >= MIN_SCORE)).select(*[f"`{c}`" for c in docs.columns])
+    """Documents with a language; those without a letter, or like no language learned, go.
+
+    Null and empty texts have none and go; each of repeated rows is judged by itself, and a tie is
+    between languages, so it stays.
+    """
+    plain, at = _numbered(docs)
+    model = language_id.learn(docs.filter(~language_id.held_out()).select("text", "lang"))
+    judged = language_id.predict(plain, model, at["text"])
+    return judged.filter((F.col("tl_lang") != "und") & (F.col("tl_score") >= MIN_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 @_tidy
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that another one keeps. A text may become empty."""
+    """Documents without the lines that another one keeps. A text may become empty.
+
+    Null and empty texts stay as they are; rows that repeat a doc_id and a text lose the same lines.
+    """
     own = docs.select("doc_id", "text")
-    done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(own))
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("tl_kept")), "n_chars": F.when(F.col("tl_n_dropped") > 0, F.length("tl_kept").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    plain, at = _numbered(docs)
+    done = line_dedup.apply_bitmaps(plain, line_dedup.keep_bitmaps(own), at["doc_id"], at["text"])
+    changed = {at["text"]: F.when(F.col(at["text"]).isNotNull(), F.col("tl_kept"))}
+    if "n_chars" in at:
+        changed[at["n_chars"]] = F.when(F.col("tl_n_dropped") > 0, F.length("tl_kept").cast("long")).otherwise(F.col(at["n_chars"]))
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 @_tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near copies, once; rows without doc_id stay."""
-    classes = staging.stage(jaccard_join.jaccard_classes(docs.select("doc_id", "text")), "kept")
-    kept = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("tl_times"))
-    found = docs.join(kept, "doc_id").select(*[f"`{c}`" for c in docs.columns], "tl_times")
-    out = found.filter("tl_times = 1").drop("tl_times")
-    if not kept.filter("tl_times > 1").isEmpty():
-        # repeated rows of one doc_id: one of them, always the same
-        row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-        one = found.filter("tl_times > 1").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("tl_row"))
-        out = out.union(one.select(*[F.col(f"tl_row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
-    return out.union(docs.filter("doc_id IS NULL"))
+    """The smallest doc_id of each class of near copies, once.
+
+    Texts without words are like no other and stay. Where a doc_id has several rows, texts are told
+    apart by their content: equal rows count once, and other texts under that doc_id are documents
+    of their own.
+    """
+    plain, at = _numbered(docs)
+    doc, text = F.col(at["doc_id"]), F.col(at["text"])
+    keyed = plain.filter(doc.isNotNull())
+    several = staging.stage(keyed.groupBy(doc.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"), "several")
+    plainly = several.isEmpty()
+    if plainly:
+        keyed = keyed.withColumn("key", doc)
+    else:
+        again = keyed.join(several, doc == F.col("id"), "left")
+        keyed = again.withColumn("key", F.when(F.col("id").isNull(), doc).otherwise(F.xxhash64(doc, text))).drop("id")
+    classes = staging.stage(jaccard_join.jaccard_classes(keyed.select(F.col("key").alias("doc_id"), text.alias("text"))), "kept")
+    if plainly:
+        kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("key"))
+        out = keyed.join(kept, "key").select(*plain.columns)
+    else:
+        numbers = keyed.select("key", doc.alias("id")).distinct()
+        named = classes.distinct().join(numbers, F.col("doc_id") == F.col("key"))
+        kept = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
+        found = keyed.join(kept, "key")
+        one = found.join(several, doc == F.col("id"), "left_semi").groupBy("key").agg(F.min_by(F.struct(*plain.columns), F.xxhash64(*plain.columns)).alias("row"))
+        out = found.join(several, doc == F.col("id"), "left_anti").select(*plain.columns).union(one.select("row.*"))
+    return out.union(plain.filter(doc.isNull())).toDF(*docs.columns)
 
 
 @_tidy
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; repeated rows are each kept or dropped."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left, in sequences of at most 4096 ids."""
+    """Pieces of all documents left, in sequences of at most 4096 ids.
+
+    A null or empty text is its end id alone; each of repeated rows is packed; rows without doc_id too.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
