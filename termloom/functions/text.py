@@ -90,15 +90,14 @@ def _without(x: Column, k: Column) -> Column:
     return F.array_join(cut, "")
 
 
-def geo_variants(x: Column, depth: int = 4) -> Column:
-    """The stripped value and what is left by removing parentheses one after the other.
+def geo_variants(x: Column) -> Column:
+    """The stripped value and all that is left by removing parentheses one after the other.
 
-    ``depth`` bounds the number of removals; values with more parentheses keep the outer ones.
+    Removals are tried as often as the value has opening parentheses, after which none is left.
     """
-    out = F.array(strip(x))
-    for _ in range(depth):
-        out = _variants_once(out)
-    return F.array_sort(out)
+    n = F.char_length(x) - F.char_length(F.replace(x, F.lit("("), F.lit("")))
+    turns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_sort(F.aggregate(turns, F.array(strip(x)), lambda found, _: _variants_once(found)))
 
 
 def remove_dates(title: Column) -> Column:

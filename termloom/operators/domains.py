@@ -41,11 +41,17 @@ def raw_scores(scores: DataFrame) -> DataFrame:
 
 
 def calibration(scores: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(domain, cap): the value at 95 % of the ordered scores if there are enough, else the sum of weights."""
+    """(domain, cap): the value at 95 % of the ordered scores if there are enough, else the sum of weights.
+
+    All scores above 0 count, also those below the minimum. Equal scores are counted first, so a
+    domain's window holds its different scores and not its measures.
+    """
     budget = lexicon.groupBy("domain").agg(F.sum("weight").cast("double").alias("budget"))
-    ordered = raw_scores(scores).withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("raw", "measure"))).withColumn("n", F.count("*").over(Window.partitionBy("domain")))
-    at = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(CALIBRATION_RANK)).cast("int"))
-    level = ordered.filter((F.col("n") >= CALIBRATION_HITS) & (F.col("k") == at)).select("domain", F.col("raw").cast("double").alias("level"))
+    times = scores.filter("raw > 0").groupBy("domain", "raw").agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy("domain").orderBy("raw"))
+    ranked = times.withColumn("k", upto).withColumn("n", F.sum("times").over(Window.partitionBy("domain")))
+    at = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(CALIBRATION_RANK)))
+    level = ranked.filter((F.col("n") >= CALIBRATION_HITS) & (F.col("k") >= at)).groupBy("domain").agg(F.min("raw").cast("double").alias("level"))
     cap = F.coalesce("level", "budget")
     return budget.join(level, "domain", "left").select("domain", F.when(cap <= 0, 1.0).otherwise(cap).alias("cap"))
 
@@ -113,6 +119,11 @@ def signals(measures: DataFrame, lexicon: DataFrame, domains: DataFrame) -> Data
     return vector.join(dictionary, ["measure", "domain"], "left").withColumn("dictionary", F.coalesce("dictionary", F.lit(0.0)))
 
 
+def known_domains(mapping: DataFrame, measures: DataFrame) -> DataFrame:
+    """The rows of a mapping (measure, domain) whose measure is one of ``measures``."""
+    return mapping.join(measures.select("measure").distinct(), "measure", "left_semi")
+
+
 def with_replies(decided: DataFrame, replies: DataFrame) -> DataFrame:
     """Decisions under review take the domain of a valid reply (request_id, domain, confidence)."""
     own = decided.withColumn("request_id", T.request_id(F.col("measure")))

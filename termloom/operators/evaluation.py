@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.operators.numbering import numbered
 
-# --- fixed values: score buckets, half open but for the last ---
+# --- fixed values: core labels; score buckets, half open but for the last ---
+CORE_RELATIONS = ("same_concept", "synonym", "subtype", "complementary", "different_aspects")
 BUCKETS = ((0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 0.9), (0.9, 1.01))
 
 
@@ -28,16 +30,36 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 25, seed
 
 
 def tertiles(rows: DataFrame, score: str, key: str) -> DataFrame:
-    """``tertile`` low, middle or high by rank; what n / 3 leaves over is high.
-
-    The two cuts are found by ordered limits of the light (score, key), not by one sorted partition.
-    """
-    light = rows.select(F.col(score).alias("s"), F.col(key).alias("k"))
-    third = light.count() // 3
-    cut = lambda n: light.orderBy("s", "k").limit(n).agg(F.max(F.struct("s", "k"))).first()[0] if n else None
-    below = lambda c: F.lit(False) if c is None else F.struct(F.col(score).alias("s"), F.col(key).alias("k")) <= F.struct(F.lit(c[0]).cast(rows.schema[score].dataType).alias("s"), F.lit(c[1]).cast(rows.schema[key].dataType).alias("k"))
-    low, middle = cut(third), cut(2 * third)
-    return rows.withColumn("tertile", F.when(below(low), "low").when(below(middle), "middle").otherwise("high"))
+    """``tertile`` low, middle or high by rank; what n / 3 leaves over is high."""
+    placed = numbered(rows, score, key, name="__n")
+    third = placed.count() // 3
+    n = F.col("__n")
+    return placed.withColumn("tertile", F.when(n < third, "low").when(n < 2 * third, "middle").otherwise("high")).drop("__n")
+
+
+def tertile_sample(rows: DataFrame, score: str, key: str, n: int = 50, seed: int = 42) -> DataFrame:
+    """``n`` rows of each tertile, with ``short`` true where one has fewer."""
+    return stratified_sample(tertiles(rows, score, key), "tertile", key, n, seed)
+
+
+def eligible(relations: DataFrame) -> DataFrame:
+    """Relations with a core label, one row (the first seq) of each unordered pair."""
+    core = relations.filter(F.col("relation").isin(*CORE_RELATIONS))
+    one = Window.partitionBy(F.least("measure1", "measure2"), F.greatest("measure1", "measure2")).orderBy("seq")
+    return core.withColumn("k", F.row_number().over(one)).filter("k = 1").drop("k")
+
+
+def first_examples(rows: DataFrame, by: str, key: str, n: int = 10) -> DataFrame:
+    """(by, n_rows, examples): the number of rows and the ``n`` smallest keys of each group."""
+    order = Window.partitionBy(by).orderBy(key)
+    some = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).groupBy(by).agg(F.sort_array(F.collect_list(key)).alias("examples"))
+    return rows.groupBy(by).agg(F.count("*").alias("n_rows")).join(some, by).select(by, "n_rows", "examples")
+
+
+def primary_errors(rows: DataFrame, key: str) -> DataFrame:
+    """Wrong rows of (gold, pred, score), the most confident first; ``nth`` is the place from 0."""
+    wrong = rows.filter("gold <> pred")
+    return numbered(wrong, F.col("score").desc(), F.col(key).asc())
 
 
 def balanced_sample(rows: DataFrame, stratum: str, key: str, n: int = 100, seed: int = 42) -> DataFrame:

@@ -94,6 +94,12 @@ def candidate_pairs(by_vector: DataFrame, by_text: DataFrame) -> DataFrame:
     return sided(by_vector, "embedding_knn").unionByName(sided(by_text, "tfidf_knn")).groupBy("a", "b").agg(F.sort_array(F.collect_set("source")).alias("sources"))
 
 
+def source_counts(pairs: DataFrame) -> DataFrame:
+    """(n, by_embedding, by_tfidf, both) of candidate pairs."""
+    v, t = F.array_contains("sources", "embedding_knn"), F.array_contains("sources", "tfidf_knn")
+    return pairs.agg(F.count("*").alias("n"), F.count_if(v).alias("by_embedding"), F.count_if(t).alias("by_tfidf"), F.count_if(v & t).alias("both"))
+
+
 def near_domains(neighbours: DataFrame, domains: DataFrame, least: float = 0.84) -> DataFrame:
     """Neighbours without pairs of two known, different domains that are less similar than ``least``."""
     of = domains.select(F.col("id"), F.col("domain").alias("d1"))

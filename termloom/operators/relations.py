@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from termloom.functions import similarity as S
 from termloom.functions import text as T
+from termloom.operators import neighbours as N
+from termloom.operators.numbering import numbered
+from termloom.sources.shared import cut
 
 # --- fixed values: relation labels and thresholds ---
 RELATIONS = ("same_concept", "synonym", "subtype", "complementary", "different_aspects", "related")
@@ -159,16 +162,9 @@ def route(pairs: DataFrame) -> DataFrame:
 
 
 def batches(pending: DataFrame, size: int = BATCH) -> DataFrame:
-    """(batch, pair_no) of pairs (a, b), ``size`` to a batch, numbered from 1 in each.
-
-    Numbers are by range partitions and counts of them, not by one sorted partition.
-    """
-    parts = int(pending.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = pending.repartitionByRange(parts, "a", "b").withColumn("p", F.spark_partition_id())
-    placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("a", "b")))
-    before = placed.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("p", F.coalesce("before", F.lit(0)).alias("before"))
-    n = F.col("k") + F.col("before") - 1
-    return placed.join(F.broadcast(before), "p").select(*pending.columns, F.floor(n / size).cast("long").alias("batch"), (n % size + 1).cast("long").alias("pair_no"))
+    """(batch, pair_no) of pairs (a, b), ``size`` to a batch, numbered from 1 in each."""
+    n = F.col("__n")
+    return numbered(pending, "a", "b", name="__n").select(*pending.columns, F.floor(n / size).cast("long").alias("batch"), (n % size + 1).cast("long").alias("pair_no"))
 
 
 def batch_replies(replies: DataFrame, expected: DataFrame) -> DataFrame:
@@ -192,28 +188,78 @@ def best_relations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
 
 
-def unresolved(semantic: DataFrame, resolved: DataFrame, rejected: DataFrame, enabled: bool = False) -> DataFrame:
-    """Semantic candidates without a relation, with the reason."""
+def judged_replies(pairs: DataFrame, replies: DataFrame) -> DataFrame:
+    """Pairs with a reply (request_id, reply_relation, reply_confidence), its guard and acceptance.
+
+    ``guard_rejected`` replies contradict qualifiers; ``accepted`` ones are allowed, of a known
+    relation and of enough confidence. Of several replies to a request the most confident counts.
+    """
+    best = replies.groupBy("request_id").agg(F.max_by(F.struct("reply_relation", "reply_confidence"), F.struct("reply_confidence", "reply_relation")).alias("r")).select("request_id", "r.*")
+    both = pairs.join(best, "request_id")
+    allowed = reply_allowed(F.col("reply_relation"), F.col("x.quals"), F.col("y.quals"))
+    accepted = allowed & F.col("reply_relation").isin(*RELATIONS) & (F.col("reply_confidence") >= REPLY_CONFIDENCE)
+    return both.withColumn("guard_rejected", ~allowed).withColumn("accepted", F.coalesce(accepted, F.lit(False)))
+
+
+def final_relations(routed: DataFrame, judged: DataFrame) -> DataFrame:
+    """Automatic relations and accepted replies: (request_id, a, b, relation, confidence, method, llm).
+
+    A request that both have goes by the higher confidence, the automatic one first.
+    """
+    auto = routed.filter("route = 'auto'").select("request_id", "a", "b", "relation", "confidence", "method", F.lit(False).alias("llm"), F.lit(0).alias("seq"))
+    said = judged.filter("accepted").select("request_id", "a", "b", F.col("reply_relation").alias("relation"), F.col("reply_confidence").alias("confidence"), F.lit("llm_classification").alias("method"), F.lit(True).alias("llm"), F.lit(1).alias("seq"))
+    return best_relations(auto.unionByName(said)).drop("seq")
+
+
+def unresolved(semantic: DataFrame, resolved: DataFrame, rejected: DataFrame, enabled: bool = False, daily_limit: bool = False) -> DataFrame:
+    """Semantic candidates without a relation, with the reason.
+
+    ``enabled`` says that replies were asked for, ``daily_limit`` that asking ended early.
+    """
     rows = semantic.join(resolved.select("request_id"), "request_id", "left_anti").join(rejected.select("request_id", "reply_confidence", "guard_rejected"), "request_id", "left")
     reason = (
         F.when(F.coalesce("guard_rejected", F.lit(False)), "llm_guard_rejected")
         .when(F.col("reply_confidence") < REPLY_CONFIDENCE, "llm_below_confidence")
         .when(F.col("reply_confidence").isNotNull(), "llm_not_accepted")
-        .when((F.col("route") == "review") & F.lit(not enabled), "llm_disabled")
-        .when(F.col("relation") == "related", "generic_related_not_auto_accepted")
+        .when(F.lit(enabled and daily_limit), "llm_daily_limit_not_processed")
+        .when(F.lit(not enabled), "llm_disabled")
+        .when(F.col("relation") == "related", "generic_related_requires_llm")
         .otherwise("no_safe_rule")
     )
     return rows.withColumn("reason", reason)
 
 
+def related_measures(measures: DataFrame, vectors: DataFrame, texts: DataFrame, term_similarity, replies, k: int = 5, floors: tuple[float, float] = (0.55, 0.18)) -> tuple[DataFrame, DataFrame]:
+    """(routed pairs, final relations) of measures: every step works on the rows of the one before it.
+
+    ``measures`` (id, measure), ``vectors`` (id, vec, domain) of unit length and ``texts`` (id, text)
+    are retrieved by both channels; pairs of two known, different domains that retrieval by vectors
+    gives need a similarity of ``near_domains``. Substitutions are learned from semantic candidates
+    only. ``term_similarity`` makes a column of (term_a, term_b), ``replies`` a frame (request_id,
+    reply_relation, reply_confidence) of routed pairs.
+    """
+    found = N.near_domains(N.vector_neighbours(vectors.select("id", "vec"), k, floors[0]), vectors.select("id", "domain"))
+    weights = cut(N.tfidf(texts).select("id", "term", "w"))
+    pairs = cut(N.candidate_pairs(found, N.tfidf_neighbours(weights, k, floors[1])))
+    of = vectors.select("id", "vec", "domain")
+    sided = pairs.join(of.toDF("a", "va", "da"), "a").join(of.toDF("b", "vb", "db"), "b").join(N.tfidf_cosine(weights, pairs), ["a", "b"])
+    seen = with_features(sided, measure_features(measures))
+    seen = seen.withColumns({"emb": S.clamp(S.dot(F.col("va"), F.col("vb"))), "cross_domain": F.coalesce(F.col("da") != F.col("db"), F.lit(False)), "nx": F.col("x.norm"), "ny": F.col("y.norm")}).drop("va", "vb")
+    seen = token_features(seen.withColumn("seq", S.sequence_ratio("nx", "ny")).drop("nx", "ny"))
+    scored = cut(decide_candidates(seen.withColumn("score", S.semantic_score(F.col("emb"), F.col("lex"), F.col("overlap"), F.col("containment"), F.col("seq"), F.col("cross_domain")))))
+    examples = substitutions(scored.filter("decision = 'semantic_candidate'"))
+    patterns = learned_patterns(examples, examples.select("term_a", "term_b").distinct().withColumn("term_similarity", term_similarity(None)))
+    patterns = patterns.select("term_a", "term_b", "support", "term_similarity", "context_similarity", "variant", "dimension")
+    one = lambda side: F.when((F.size("diff.only_a") == 1) & (F.size("diff.only_b") == 1), F.get(F.col(f"diff.{side}"), F.lit(0)))
+    changed = scored.withColumns({"term_a": F.least(one("only_a"), one("only_b")), "term_b": F.greatest(one("only_a"), one("only_b"))})
+    routed = cut(route(cascade(changed.join(patterns, ["term_a", "term_b"], "left"))).withColumn("request_id", T.pair_request_id(F.col("x.measure"), F.col("y.measure"), "model")))
+    return routed, final_relations(routed, judged_replies(routed.filter("route = 'review'"), replies(routed)))
+
+
 def graph_nodes(relations: DataFrame, domains: DataFrame) -> DataFrame:
     """(id, label, domain) of the measures in relations, numbered in order from 0."""
     labels = relations.select(F.col("measure1").alias("label")).union(relations.select("measure2")).distinct()
-    parts = int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = labels.repartitionByRange(parts, "label").withColumn("p", F.spark_partition_id()).withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("label")))
-    before = placed.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("p", F.coalesce("before", F.lit(0)).alias("before"))
-    numbered = placed.join(F.broadcast(before), "p").select((F.col("k") + F.col("before") - 1).cast("long").alias("id"), "label")
-    return numbered.join(domains.withColumnRenamed("measure", "label"), "label", "left").select("id", "label", "domain")
+    return numbered(labels, "label", name="id").join(domains.withColumnRenamed("measure", "label"), "label", "left").select("id", "label", "domain")
 
 
 def graph_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:

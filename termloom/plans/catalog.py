@@ -15,9 +15,11 @@ from termloom.operators import neighbours as N
 from termloom.operators import relations as R
 from termloom.operators import replies as P
 from termloom.operators import vocabulary as V
+from termloom.operators.numbering import numbered
 from termloom.plans import inputs as I
 from termloom.sources import corpus as C
 from termloom.sources import sinks as K
+from termloom.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,7 +211,7 @@ def category_counts(spark, sf_dir):
 
 _HITS_SQL = f"(SELECT doc_id, domain, domain_idx, sum(weight)::BIGINT AS raw, array_to_string(list_sort(list(word)), '|') AS words FROM documents, {I.LEXICON.sql} WHERE regexp_matches(' ' || lower(text) || ' ', '(^|[^a-z])' || word || '([^a-z]|$)') GROUP BY doc_id, domain, domain_idx)"
 _CAPS_SQL = f"""(SELECT b.domain, CASE WHEN coalesce(l.raw, b.budget) <= 0 THEN 1.0 ELSE coalesce(l.raw, b.budget) END::DOUBLE AS cap FROM (SELECT domain, sum(weight)::DOUBLE AS budget FROM {I.LEXICON.sql} GROUP BY domain) b
- LEFT JOIN (SELECT domain, raw::DOUBLE AS raw FROM (SELECT domain, raw, row_number() OVER (PARTITION BY domain ORDER BY raw) AS k, count(*) OVER (PARTITION BY domain) AS n FROM {_HITS_SQL} WHERE raw >= 3) WHERE n >= 15 AND k = greatest(1, floor(n * 0.95::DOUBLE)::BIGINT)) l ON l.domain = b.domain)"""
+ LEFT JOIN (SELECT domain, raw::DOUBLE AS raw FROM (SELECT domain, raw, row_number() OVER (PARTITION BY domain ORDER BY raw) AS k, count(*) OVER (PARTITION BY domain) AS n FROM {_HITS_SQL} WHERE raw > 0) WHERE n >= 15 AND k = greatest(1, floor(n * 0.95::DOUBLE)::BIGINT)) l ON l.domain = b.domain)"""
 _SCORES_SQL = f"(SELECT doc_id, domain, domain_idx, least(raw / cap, 1.0) AS score FROM {_HITS_SQL} JOIN {_CAPS_SQL} USING (domain) WHERE raw >= 3)"
 
 
@@ -356,12 +358,17 @@ def qualifier_conflict(spark, sf_dir):
 _TOK_SQL = f"(SELECT id, {tokens_sql('measure')} AS t FROM {I.MEASURES_SQL})"
 
 
+def _sharing_a_token(features):
+    """Pairs (a, b) of all measures with a token in common, a < b."""
+    of = features.select("id", F.explode("toks").alias("t"))
+    return of.select(F.col("id").alias("a"), "t").join(of.select(F.col("id").alias("b"), "t"), "t").filter("a < b").select("a", "b").distinct()
+
+
 @query(f"""SELECT a, b, round(CASE WHEN u = 0 THEN 0 ELSE c / u END::DOUBLE, 6) AS overlap, round(c / least(na, nb)::DOUBLE, 6) AS containment, round(c / greatest(na, nb)::DOUBLE, 6) AS structural, na - c AS only_a, nb - c AS only_b FROM (
- SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t))::BIGINT AS c, len(list_distinct(list_concat(x.t, y.t)))::BIGINT AS u, len(x.t)::BIGINT AS na, len(y.t)::BIGINT AS nb FROM {_TOK_SQL} x JOIN {_TOK_SQL} y ON x.id < y.id AND y.id <= x.id + 12)""")
+ SELECT x.id AS a, y.id AS b, len(list_intersect(x.t, y.t))::BIGINT AS c, len(list_distinct(list_concat(x.t, y.t)))::BIGINT AS u, len(x.t)::BIGINT AS na, len(y.t)::BIGINT AS nb FROM {_TOK_SQL} x JOIN {_TOK_SQL} y ON x.id < y.id AND list_has_any(x.t, y.t))""")
 def pair_overlap_features(spark, sf_dir):
     f = R.measure_features(I.measures(spark, sf_dir))
-    near = I.measures(spark, sf_dir).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 12)).alias("b"))
-    p = R.token_features(R.with_features(near, f))
+    p = R.token_features(R.with_features(_sharing_a_token(f), f))
     return p.select("a", "b", F.round("overlap", 6).alias("overlap"), F.round("containment", 6).alias("containment"), F.round("structural", 6).alias("structural"), F.size("diff.only_a").cast("long").alias("only_a"), F.size("diff.only_b").cast("long").alias("only_b"))
 
 
@@ -434,22 +441,35 @@ def candidate_union(spark, sf_dir):
     return _candidates(spark, sf_dir).withColumn("sources", F.array_join("sources", "|"))
 
 
+@query(f"SELECT count(*) AS n, count(*) FILTER (list_contains(sources, 'embedding_knn')) AS by_embedding, count(*) FILTER (list_contains(sources, 'tfidf_knn')) AS by_tfidf, count(*) FILTER (len(sources) = 2) AS both FROM {_CAND_SQL}")
+def candidate_sources(spark, sf_dir):
+    return N.source_counts(_candidates(spark, sf_dir))
+
+
+@query("SELECT DISTINCT measure, domain FROM (SELECT p_name || ' by ' || p_type AS measure, p_brand AS domain FROM part UNION ALL SELECT p_type, p_brand FROM part) WHERE measure IN (SELECT p_name || ' by ' || p_type FROM part)")
+def known_domains(spark, sf_dir):
+    """Domains of a mapping for the measures that there are."""
+    part = I.table(spark, sf_dir, "part")
+    mapping = part.select(F.concat_ws(" by ", "p_name", "p_type").alias("measure"), F.col("p_brand").alias("domain")).union(part.select("p_type", "p_brand")).distinct()
+    return D.known_domains(mapping, I.measures(spark, sf_dir))
+
+
 # pairs of measures with made-up but fixed signals, which reach every rule
 _PAIR_SQL = f"""(SELECT x.id AS a, y.id AS b, 0.70::DOUBLE + ((x.id * 31 + y.id * 17) % 31) / 100.0::DOUBLE AS emb, ((x.id * 5 + y.id * 3) % 11) / 10.0::DOUBLE AS lex, ((x.id + y.id * 7) % 21) / 20.0::DOUBLE AS seq,
  (x.id + y.id) % 4 = 0 AS cross_domain, x.t AS tx, y.t AS ty, x.core AS cx, y.core AS cy, x.ct AS ct, len(list_intersect(x.t, y.t))::DOUBLE AS c, len(list_distinct(list_concat(x.t, y.t)))::DOUBLE AS u, len(x.t)::DOUBLE AS na, len(y.t)::DOUBLE AS nb
- FROM (SELECT id, {tokens_sql('measure')} AS t, {core_sql('measure')} AS core, {tokens_sql(core_sql('measure'))} AS ct FROM {I.MEASURES_SQL}) x JOIN (SELECT id, {tokens_sql('measure')} AS t, {core_sql('measure')} AS core FROM {I.MEASURES_SQL}) y ON x.id < y.id AND y.id <= x.id + 40)"""
+ FROM (SELECT id, {tokens_sql('measure')} AS t, {core_sql('measure')} AS core, {tokens_sql(core_sql('measure'))} AS ct FROM {I.MEASURES_SQL}) x JOIN (SELECT id, {tokens_sql('measure')} AS t, {core_sql('measure')} AS core FROM {I.MEASURES_SQL}) y ON x.id < y.id AND list_has_any(x.t, y.t))"""
 _BLEND_SQL = f"(SELECT *, c / u AS overlap, c / least(na, nb) AS containment, c / greatest(na, nb) AS structural, least(1.0, greatest(0.0, 0.62::DOUBLE * emb + 0.16::DOUBLE * lex + 0.10::DOUBLE * (c / u) + 0.07::DOUBLE * (c / least(na, nb)) + 0.05::DOUBLE * seq - CASE WHEN cross_domain AND emb < 0.76 THEN 0.02 ELSE 0 END)) AS score FROM {_PAIR_SQL})"
 
 
 def _pairs(spark, sf_dir):
-    m = I.measures(spark, sf_dir)
-    near = m.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 40)).alias("b"))
+    features = R.measure_features(I.measures(spark, sf_dir))
+    near = _sharing_a_token(features)
     a, b = F.col("a"), F.col("b")
     made = near.withColumns({
         "emb": F.lit(0.70) + ((a * 31 + b * 17) % 31) / F.lit(100.0), "lex": ((a * 5 + b * 3) % 11) / F.lit(10.0), "seq": ((a + b * 7) % 21) / F.lit(20.0), "cross_domain": (a + b) % 4 == 0,
         "sources": F.when((a + b) % 5 == 0, F.array(F.lit("tfidf_knn"))).otherwise(F.array(F.lit("embedding_knn"))),
     })
-    p = R.token_features(R.with_features(made, R.measure_features(m)))
+    p = R.token_features(R.with_features(made, features))
     return p.withColumn("score", S.semantic_score(F.col("emb"), F.col("lex"), F.col("overlap"), F.col("containment"), F.col("seq"), F.col("cross_domain")))
 
 
@@ -538,6 +558,53 @@ def review_batches(spark, sf_dir):
     return R.batches(_cascaded(spark, sf_dir).filter("route = 'review'").select("a", "b"))
 
 
+# replies to a third of the requests, of all relations and one that is none, from a fixed rule
+_REPLY_SQL = "['same_concept', 'synonym', 'subtype', 'complementary', 'different_aspects', 'related', 'unrelated'][1 + (a * 3 + b) % 7] AS rrel, ((a * 7 + b) % 11) / 10.0::DOUBLE AS rconf"
+
+
+def _made_replies(rows):
+    a, b = F.col("a"), F.col("b")
+    relation = F.get(F.array(*[F.lit(r) for r in ("same_concept", "synonym", "subtype", "complementary", "different_aspects", "related", "unrelated")]), ((a * 3 + b) % 7).cast("int"))
+    some = rows.filter((F.col("route") == "review") & ((a + 2 * b) % 3 == 0))
+    return some.select("request_id", relation.alias("reply_relation"), (((a * 7 + b) % 11) / F.lit(10.0)).alias("reply_confidence"))
+
+
+@query(f"""SELECT a, b, relation, confidence, method, llm FROM (SELECT a, b, r AS relation, round(conf, 6) AS confidence, m AS method, false AS llm FROM {_ROUTE_SQL} WHERE route = 'auto'
+ UNION ALL SELECT a, b, rrel, round(rconf, 6), 'llm_classification', true FROM (SELECT *, {_REPLY_SQL} FROM {_ROUTE_SQL} WHERE route = 'review') WHERE (a + 2 * b) % 3 = 0 AND rconf >= 0.70 AND rrel <> 'unrelated')""")
+def final_relations(spark, sf_dir):
+    """Automatic relations and accepted replies, the union that the graph is made of."""
+    rows = cut(_cascaded(spark, sf_dir).withColumn("request_id", F.concat_ws("-", "a", "b")))
+    final = R.final_relations(rows, R.judged_replies(rows.filter("route = 'review'"), _made_replies(rows)))
+    return final.select("a", "b", "relation", F.round("confidence", 6).alias("confidence"), "method", "llm")
+
+
+@query(f"SELECT a, b, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, a, b) - 1 AS nth FROM {_BLEND_SQL}")
+def candidate_order(spark, sf_dir):
+    """All candidates by score, the best first."""
+    rows = _pairs(spark, sf_dir).select("a", "b", F.round("score", 6).alias("score"))
+    return numbered(rows, F.col("score").desc(), F.col("a").asc(), F.col("b").asc())
+
+
+def _end_to_end(spark, sf_dir):
+    """Measures with vectors from retrieval to final relations, each step on the one before it."""
+    measures = cut(I.measures(spark, sf_dir))
+    vectors = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("domain"))
+    vectors = vectors.join(measures.select("id"), "id", "left_semi")
+    texts = measures.join(vectors.select("id"), "id", "left_semi").select("id", T.normalized_measure(F.col("measure")).alias("text"))
+    similarity = lambda t: F.lit(0.40) + ((F.length("term_a") * 7 + F.length("term_b") * 11) % 60) / F.lit(100.0)  # noqa: E731  term vectors come from outside
+    replies = _made_replies
+    return R.related_measures(measures, vectors, texts, similarity, replies)
+
+
+@query()
+def relations_end_to_end(spark, sf_dir):
+    """All pairs that retrieval gives, with their route, and the relation of those that get one."""
+    routed, final = _end_to_end(spark, sf_dir)
+    own = final.select("request_id", F.col("relation").alias("final_relation"), F.col("method").alias("final_method"))
+    rows = routed.join(own, "request_id", "left")
+    return rows.select("a", "b", F.array_join("sources", "|").alias("sources"), F.round("score", 6).alias("score"), "decision", "route", F.col("final_relation").alias("relation"), F.col("final_method").alias("method"))
+
+
 # ---- replies, ids, graph ----
 
 
@@ -574,12 +641,19 @@ def relation_dedup(spark, sf_dir):
     return _relations(spark).select("seq", "request_id", "relation", "confidence")
 
 
-@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN r = 'related' AND route <> 'review' THEN 'generic_related_not_auto_accepted' WHEN route = 'review' THEN 'llm_disabled' ELSE 'no_safe_rule' END AS reason FROM " + _ROUTE_SQL + " WHERE (a + b) % 5 <> 0 AND score >= 0.64 AND route <> 'auto') GROUP BY reason")
+@query(f"""SELECT state, reason, count(*) AS n FROM (SELECT s.state, CASE WHEN s.state <> 'disabled' AND route = 'review' AND (a + 2 * b) % 3 = 0 THEN CASE WHEN rconf < 0.70 THEN 'llm_below_confidence' ELSE 'llm_not_accepted' END
+ WHEN s.state = 'limit' THEN 'llm_daily_limit_not_processed' WHEN s.state = 'disabled' THEN 'llm_disabled' WHEN r = 'related' THEN 'generic_related_requires_llm' ELSE 'no_safe_rule' END AS reason, *
+ FROM (SELECT *, {_REPLY_SQL} FROM {_ROUTE_SQL}), (VALUES ('enabled'), ('limit'), ('disabled')) s(state) WHERE (a + b) % 5 <> 0 AND score >= 0.64 AND route <> 'auto')
+ WHERE NOT (state <> 'disabled' AND route = 'review' AND (a + 2 * b) % 3 = 0 AND rconf >= 0.70 AND rrel <> 'unrelated') GROUP BY state, reason""")
 def unresolved_reasons(spark, sf_dir):
-    rows = _cascaded(spark, sf_dir).withColumn("request_id", F.concat_ws("-", "a", "b"))
+    """Reasons with replies, with a limit that ended asking, and without asking."""
+    rows = cut(_cascaded(spark, sf_dir).withColumn("request_id", F.concat_ws("-", "a", "b")))
     semantic = R.decide_candidates(rows).filter("decision = 'semantic_candidate'")
-    none = rows.limit(0).select("request_id", F.lit(0.0).alias("reply_confidence"), F.lit(False).alias("guard_rejected"))
-    return R.unresolved(semantic, rows.filter("route = 'auto'"), none).groupBy("reason").agg(F.count("*").alias("n"))
+    judged = R.judged_replies(rows.filter("route = 'review'"), _made_replies(rows))
+    final = R.final_relations(rows, judged)
+    auto = rows.filter("route = 'auto'")
+    made = [R.unresolved(semantic, final, judged, True).withColumn("state", F.lit("enabled")), R.unresolved(semantic, final, judged, True, True).withColumn("state", F.lit("limit")), R.unresolved(semantic, auto, judged.limit(0)).withColumn("state", F.lit("disabled"))]
+    return made[0].unionByName(made[1]).unionByName(made[2]).groupBy("state", "reason").agg(F.count("*").alias("n"))
 
 
 _NODES_SQL = f"(SELECT row_number() OVER (ORDER BY label) - 1 AS id, label FROM (SELECT measure1 AS label FROM {_DEDUP_SQL} UNION SELECT measure2 FROM {_DEDUP_SQL}))"
@@ -669,6 +743,39 @@ def sample_tertile(spark, sf_dir):
     return E.tertiles(I.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "tertile")
 
 
+@query("""WITH t AS (SELECT doc_id, CASE WHEN k <= n // 3 THEN 'low' WHEN k <= 2 * (n // 3) THEN 'middle' ELSE 'high' END AS tertile FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id) AS k, count(*) OVER () AS n FROM documents))
+ SELECT doc_id, tertile, n < 50 AS short FROM (SELECT *, count(*) OVER (PARTITION BY tertile) AS n, row_number() OVER (PARTITION BY tertile ORDER BY sha256('42|' || doc_id), doc_id) AS k FROM t) WHERE k <= 50""")
+def sample_tertile_draw(spark, sf_dir):
+    """Fifty of each tertile."""
+    return E.tertile_sample(I.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "tertile", "short")
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha256('42|' || event_id), event_id) AS k FROM events) WHERE k <= 10")
+def sample_per_method(spark, sf_dir):
+    """Ten of each method at most, for the judge."""
+    return E.stratified_sample(I.table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id", 10).select("event_type", "event_id")
+
+
+@query("SELECT source, count(*) AS n_rows, array_to_string(list(doc_id ORDER BY doc_id)[1:10], '|') AS examples FROM documents GROUP BY source")
+def first_examples(spark, sf_dir):
+    """The first ten examples of each group of a report."""
+    rows = E.first_examples(I.table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return rows.select("source", "n_rows", F.array_join(F.transform("examples", lambda x: x.cast("string")), "|").alias("examples"))
+
+
+@query("SELECT doc_id, gold, pred, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS nth FROM (SELECT doc_id, quality::VARCHAR AS gold, toxic::VARCHAR AS pred, (doc_id * 37 % 101) / 101.0::DOUBLE AS score FROM labels) WHERE gold <> pred")
+def error_order(spark, sf_dir):
+    """Wrong rows, the most confident first."""
+    rows = I.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("gold"), F.col("toxic").cast("string").alias("pred"), ((F.col("doc_id") * 37 % 101) / F.lit(101.0)).alias("score"))
+    return E.primary_errors(rows, "doc_id")
+
+
+@query(f"SELECT seq, relation FROM (SELECT *, row_number() OVER (PARTITION BY least(measure1, measure2), greatest(measure1, measure2) ORDER BY seq) AS k FROM {I.RELATIONS.sql} WHERE relation IN ('same_concept', 'synonym', 'subtype', 'complementary', 'different_aspects')) WHERE k = 1")
+def eval_eligible(spark, sf_dir):
+    """Relations that an evaluation sample is drawn from."""
+    return E.eligible(I.RELATIONS.frame(spark)).select("seq", "relation")
+
+
 @query("""WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('42|' || doc_id), doc_id) AS k, 100 // (SELECT count(DISTINCT source) FROM documents) AS m FROM documents),
  f AS (SELECT doc_id, source FROM s WHERE k <= m) SELECT * FROM f UNION ALL (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f) ORDER BY sha256('43|' || doc_id), doc_id LIMIT (SELECT 100 - count(*) FROM f))""")
 def sample_balanced(spark, sf_dir):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.operators.numbering import numbered
 from termloom.sources.corpus import unpivoted
 
 
@@ -55,7 +56,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, measure): distinct ``name by type`` strings, numbered in order."""
     rows = table(spark, sf_dir, "part").select(F.concat_ws(" by ", "p_name", "p_type").alias("measure")).distinct()
-    return rows.select(F.row_number().over(Window.orderBy("measure")).cast("long").alias("id"), "measure")
+    return numbered(rows, "measure", name="id").select((F.col("id") + 1).alias("id"), "measure")
 
 
 MEASURES_SQL = "(SELECT row_number() OVER (ORDER BY measure)::BIGINT AS id, measure FROM (SELECT DISTINCT p_name || ' by ' || p_type AS measure FROM part))"
