@@ -5,10 +5,10 @@ as the assistant and all others as users with a name; the mask marks what the as
 including the mark that ends a turn. Roles in ``context_roles`` are no participants: they are
 rendered as they are in every perspective.
 
-A rendering comes in blocks of ``block_turns`` turns by their place in the dialogue, for every
-conversation alike, so that no task ever holds an unbounded one: the blocks 0 to n_blocks - 1 of a
-perspective, in order, are its dialogue, and most dialogues are one block. Places come from counts
-of turn-number ranges and a sort inside a range.
+A rendering comes in blocks of at most ``block_turns`` turns, for every conversation alike, so that
+no task ever holds an unbounded one: turns meet by ranges of ``block_turns`` turn numbers, and a
+range with more turns than numbers is cut into as many blocks as it takes. The blocks 0 to
+n_blocks - 1 of a perspective, in order, are its dialogue; most dialogues are one block.
 
 Defined results: a null text is empty, a null role is the participant ``unknown``; rows without a
 conv_id belong to no dialogue and are left out; turns are in order of number (those without one
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 256
+#: The range of turns without a number, before all others.
+NO_NUMBER = -(1 << 63)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -40,19 +42,19 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = ("system",), block
     """
     rows = turns.filter("conv_id IS NOT NULL").select(
         "conv_id",
-        F.floor(F.col("turn").cast("long") / block_turns).alias("span"),
+        F.coalesce(F.floor(F.col("turn").cast("long") / block_turns), F.lit(NO_NUMBER)).alias("span"),
         F.col("turn").cast("long").alias("turn"),
         speaker_name(F.col("role")).alias("who"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"),
     )
-    spans = rows.groupBy("conv_id", "span").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("conv_id").orderBy("span")
-    before = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    spans = spans.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), before.alias("before"), F.sum("n").over(Window.partitionBy("conv_id")).alias("size"))
+    spans = rows.groupBy("conv_id", "span").agg(F.ceil(F.count("*") / block_turns).alias("k"))
+    before = F.sum("k").over(Window.partitionBy("conv_id").orderBy("span")) - F.col("k")
+    spans = spans.select("conv_id", "span", before.alias("before"), F.sum("k").over(Window.partitionBy("conv_id")).alias("n_blocks"))
+    # window, join and grouping all go by conv_id and span: the texts are shuffled once for them
     within = F.row_number().over(Window.partitionBy("conv_id", "span").orderBy("turn", "who", "said")) - 1
-    placed = rows.withColumn("within", within).join(spans, (F.col("conv_id") == F.col("c")) & F.col("span").eqNullSafe(F.col("s")))
-    block = F.floor((F.col("before") + F.col("within")) / block_turns)
-    blocks = placed.groupBy("conv_id", block.alias("block"), F.ceil(F.col("size") / block_turns).alias("n_blocks")).agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
+    placed = rows.withColumn("within", within).join(spans, ["conv_id", "span"])
+    block = (F.col("before") + F.floor(F.col("within") / block_turns)).alias("block")
+    blocks = placed.groupBy("conv_id", "span", block, "n_blocks").agg(F.sort_array(F.collect_list(F.struct("turn", "who", "said"))).alias("turns"))
     context = F.col("who").isin(*context_roles) if context_roles else F.lit(False)
     people = rows.filter(~context).select("conv_id", F.col("who").alias("perspective")).distinct()
     views = blocks.join(people, "conv_id")

@@ -149,8 +149,9 @@ WITH turns AS (
   SELECT conv_id, turn, replace(coalesce(text, ''), '<|', '< |') AS said,
          coalesce(nullif(regexp_replace(role, '[ \t\n\x0B\f\r<|>]+', '_', 'g'), ''), 'unknown') AS who
   FROM conversations WHERE conv_id IS NOT NULL),
-placed AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, said) - 1) // 256)::BIGINT AS block,
-                  ceil(count(*) OVER (PARTITION BY conv_id) / 256)::BIGINT AS n_blocks FROM turns),
+spans AS (SELECT *, floor(turn / 256) AS span, (row_number() OVER (PARTITION BY conv_id, floor(turn / 256) ORDER BY turn, who, said) - 1) // 256 AS part FROM turns),
+ranked AS (SELECT *, (dense_rank() OVER (PARTITION BY conv_id ORDER BY span NULLS FIRST, part) - 1)::BIGINT AS block FROM spans),
+placed AS (SELECT *, 1 + max(block) OVER (PARTITION BY conv_id) AS n_blocks FROM ranked),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM turns WHERE who <> 'system'),
 parts AS (
   SELECT t.conv_id, p.perspective, t.block, t.n_blocks, t.turn, t.who, t.said, t.who = p.perspective AS own,

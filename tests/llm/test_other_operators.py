@@ -177,8 +177,12 @@ def rotated_by_force(rows, size):
     for c, turns in by.items():
         for who in {r for _, r, _ in turns if r != "system"}:
             blocks = {}
-            for k, t in enumerate(sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))):
-                blocks.setdefault(k // size, []).append(t)
+            spans = {}
+            for t in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])):
+                spans.setdefault(None if t[0] is None else t[0] // size, []).append(t)
+            for own in spans.values():
+                for at in range(0, len(own), size):
+                    blocks[len(blocks)] = own[at : at + size]
             for b, own in blocks.items():
                 text, mask = "", []
                 for _, role, said in own:
