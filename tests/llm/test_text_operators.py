@@ -196,6 +196,45 @@ def test_subset_pairs_join_what_lists_join():
         assert joined(members, given[k]) == joined(members, [(i, j) for i, j in itertools.combinations(members, 2) if need(i, j)])
 
 
+def test_parities_never_rule_out_a_link(spark):
+    """The bits that differ are at most the shingles that only one set has, also for unlike sizes."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        u = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        v = np.unique(np.concatenate([rng.permutation(u)[: int(len(u) * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 2))).astype(np.uint64)]))
+        if len(v) and min(len(u), len(v)) * 100 >= 80 * max(len(u), len(v)):
+            linked = 100 * len(np.intersect1d(u, v)) >= 80 * len(np.union1d(u, v))
+            rows.append((jaccard_join.parities(u).tolist(), jaccard_join.parities(v).tolist(), len(u), len(v), bool(linked)))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, xn long, yn long, linked boolean")
+    got = df.selectExpr("linked", f"{jaccard_join._parities_allow('x', 'y', 'xn', 'yn')} AS allowed").collect()
+    assert all(r.allowed for r in got if r.linked) and sum(r.linked for r in got) > 20 and not all(r.allowed for r in got)
+
+
+def test_sets_by_marks_and_by_join(spark):
+    docs = table(spark, list(enumerate(some_texts(3, 60))), extra=False)
+    needed = spark.createDataFrame([(k,) for k in range(0, 60, 7)], "doc_id long")
+    by_join = {r.doc_id: r.shingles for r in jaccard_join.shingle_sets(docs, needed, most_bits=1).collect()}
+    by_marks = {r.doc_id: r.shingles for r in jaccard_join.shingle_sets(docs, needed).collect()}
+    assert set(by_join) == set(range(0, 60, 7)) and all(by_marks[k] == v for k, v in by_join.items())
+
+
+def test_large_groups_of_exact_and_near_copies(spark, monkeypatch):
+    """Most rows are one text or near it, and the heavy sets go by the broadcast side."""
+    from termloom.llm import skew
+
+    monkeypatch.setattr(skew, "most_heavy", lambda df: 4)
+    near = copies(7, 1, 300, 60, 2)
+    others = copies(8, 20, 1, 30, 0)
+    texts = [near[0]] * 1500 + near + others + [""] * 200 + [others[0]] * 3
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = jaccard_join.jaccard_classes(table(spark, rows)).collect()
+    distinct = list(dict.fromkeys(texts))
+    of = {t: c for (t, _), c in zip([(t, 0) for t in distinct], [c for _, _, c in sorted(classes_by_force([(texts.index(t), t) for t in distinct]))], strict=True)}
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(k, of[t] if t else k) for k, t in rows]
+
+
 def test_overlap_bounds():
     for a in range(1, 60):
         for b in range(max(1, -(-80 * a // 100)), a * 100 // 80 + 1):
