@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.textblocks import lean
+
 _WORD = re.compile(r"\w+")
 MATCHES = "doc_id long, item_id long, distance int, start long, end long, places int"
 
@@ -223,7 +225,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_chars:
     ``start`` and ``end`` are places in the document's text, ``places`` counts the spots.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = reduce(DataFrame.unionByName, [own.mapInArrow(_matching(block, rate, min_chars), MATCHES.replace("item_id", "key")) for block in _item_blocks(items, block_chars)])
+    found = reduce(DataFrame.unionByName, [own.mapInArrow(lean(_matching(block, rate, min_chars)), MATCHES.replace("item_id", "key")) for block in _item_blocks(items, block_chars)])
     ids = items.filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), F.col("item_id").cast("long").alias("item_id"))
     return found.join(ids, "key").select(*[x.split()[0] for x in MATCHES.split(", ")])
 
@@ -235,7 +237,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.1, min_char
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
     schema = plain.schema
     for block in _item_blocks(items, block_chars):
-        plain = plain.mapInArrow(_clean(block, rate, min_chars, text), schema)
+        plain = plain.mapInArrow(lean(_clean(block, rate, min_chars, text)), schema)
     return plain.toDF(*names)
 
 

@@ -42,6 +42,8 @@ ISLANDS, EPOCHS = 4, 3
 #: Free space of a full bin, as a part of the capacity; it doubles after a level that leaves more
 #: than this share of its pieces in bins short of full.
 FREE, MOST_LEFT = 16, 0.75
+#: Bytes of text that are tokenized at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 19
 #: Entries that a worker remembers of the words it has tokenized.
 REMEMBERED = 200_000
 #: Entries that it keeps for its next partition.
@@ -182,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
         own, number = _tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, docs = [], batch.column("doc_id").to_pylist()
-            for first, _, body, at in blocks(batch.column("text"), 1 << 20):
+            for first, _, body, at in blocks(batch.column("text"), BLOCK_BYTES):
                 for doc, ids in zip(docs[first:], own.block(body, at), strict=False):
                     data = np.concatenate([ids, end]).tobytes()
                     for p, where in enumerate(range(0, len(data), 4 * capacity)):

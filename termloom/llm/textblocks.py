@@ -49,12 +49,15 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets between them; a null is an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if not pa.types.is_string(column.type):
+        column = column.cast(pa.large_string())
+    if column.null_count:  # filling copies the texts, so only where it must be
+        column = pc.fill_null(column, "")
     _, where, data = column.buffers()
-    at = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1]
+    at = np.frombuffer(where, np.int32 if pa.types.is_string(column.type) else np.int64)[column.offset : column.offset + n + 1].astype(np.int64)
     body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     return body, at - at[0]
 
