@@ -44,10 +44,10 @@ ISLANDS, EPOCHS = 4, 3
 FREE, MOST_LEFT = 16, 0.75
 #: Bytes of text that are tokenized at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 19
-#: Entries that a worker remembers of the words it has tokenized.
-REMEMBERED = 200_000
+#: Entries that a worker remembers of the words it has tokenized, some 40 bytes each.
+REMEMBERED = 400_000
 #: Entries that it keeps for its next partition.
-KEPT = 20_000
+KEPT = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
@@ -75,18 +75,19 @@ class ChunkTokenizer:
         self._forget()
 
     def _forget(self, keep: np.ndarray | None = None) -> None:
-        """Forget all chunks, or all but those of ``keep``."""
-        keep = np.zeros(0, np.int64) if keep is None else keep
-        if len(keep):
+        """Forget all chunks, or all but those at the places ``keep``.
+
+        Chunks lie in the order of their hashes; their ids lie one after the other in ``flat``.
+        """
+        if keep is not None and len(keep):
             self.hashes, first, self.size = self.hashes[keep], self.first[keep], self.size[keep]
-            ends = np.cumsum(self.size)
-            self.flat = self.flat[np.repeat(first - ends + self.size, self.size) + np.arange(ends[-1])]
+            ends = np.cumsum(self.size, dtype=np.int32)
+            self.flat = self.flat[np.repeat(first - ends + self.size, self.size) + np.arange(ends[-1], dtype=np.int32)]
             self.first, self.used = ends - self.size, int(ends[-1])
         else:
             self.hashes, self.flat, self.used = np.zeros(0, np.uint64), np.zeros(1 << 16, "<u4"), 0
-            self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.met = np.zeros(len(keep), np.int32)
-        self.known: dict[int, int] = dict(zip(self.hashes.tolist(), range(len(keep)), strict=True))
+            self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.met = np.zeros(len(self.hashes), np.int32)
 
     def shrink(self, most: int) -> None:
         """Keep the chunks that were met in more than one block, ``most`` at most, and no other."""
@@ -96,7 +97,10 @@ class ChunkTokenizer:
         self._forget(often)
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        """Many chunks go in one text with a space between; offsets tell whose an id is."""
+        """Many chunks go in one text with a space between; offsets tell whose an id is.
+
+        ``hashes`` are sorted and not known yet.
+        """
         ids, sizes = [], []
         lists = [chunks[k : k + 64] for k in range(0, len(chunks), 64)]
         for some, e in zip(lists, self.tokenizer.encode_batch([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
@@ -110,12 +114,12 @@ class ChunkTokenizer:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[at : at + len(new)] = new
         self.used += len(new)
-        n = len(self.first)
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.first = np.concatenate([self.first, at + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.met = np.concatenate([self.met, np.zeros(len(size), np.int32)])
-        self.known.update(zip(hashes.tolist(), range(n, n + len(hashes)), strict=True))
+        at_hash = np.searchsorted(self.hashes, hashes)
+        first = (at + np.cumsum(size) - size).astype(np.int32)
+        self.hashes = np.insert(self.hashes, at_hash, hashes)
+        self.first = np.insert(self.first, at_hash, first)
+        self.size = np.insert(self.size, at_hash, size.astype(np.int32))
+        self.met = np.insert(self.met, at_hash, 0)
 
     def block(self, body: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of every text of a block."""
@@ -123,17 +127,23 @@ class ChunkTokenizer:
 
         h, begin, starts, ends = located_words(body, at, tails=_TAIL)
         where, seen = pd.factorize(h)
-        if len(self.known) > REMEMBERED:
+        order = np.argsort(seen)
+        seen, rank = seen[order], np.empty(len(seen), np.int64)
+        rank[order] = np.arange(len(seen))
+        where = rank[where]
+        if len(self.hashes) > REMEMBERED:
             self.shrink(REMEMBERED // 2)
-        number = np.array([self.known.get(x, -1) for x in seen.tolist()], np.int64)
-        miss = np.flatnonzero(number < 0)
+        number = np.searchsorted(self.hashes, seen)
+        known = np.zeros(len(seen), bool)
+        inside = number < len(self.hashes)
+        known[inside] = self.hashes[number[inside]] == seen[inside]
+        miss = np.flatnonzero(~known)
         if len(miss):
             there = np.zeros(len(seen), np.int64)
             there[where[::-1]] = np.arange(len(h))[::-1]
             raw, of = body.tobytes(), there[miss]
-            n = len(self.first)
             self._learn(seen[miss], [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)])
-            number[miss] = np.arange(n, n + len(miss))
+            number = np.searchsorted(self.hashes, seen)
         self.met[number] += 1
         number = number[where] if len(h) else np.zeros(0, np.int64)
         # a tail that was split off is one id more
@@ -144,7 +154,7 @@ class ChunkTokenizer:
         size = self.size[number] + (last > 0)
         before = np.zeros(len(h) + 1, np.int32)
         np.cumsum(size, out=before[1:])
-        index = np.repeat(self.first[number].astype(np.int32) - before[:-1], size) + np.arange(before[-1], dtype=np.int32)
+        index = np.repeat(self.first[number] - before[:-1], size) + np.arange(before[-1], dtype=np.int32)
         ids = self.flat[np.minimum(index, len(self.flat) - 1)]
         tailed = last > 0
         ids[before[1:][tailed] - 1] = last[tailed]
