@@ -182,7 +182,7 @@ _SECTION = r"(?U)[:-]\s*([A-Z]{1,6})(?=\s|$|[,.])"
 
 def signature(x: Column) -> Column:
     """All qualifiers of a text: numbers, short ranges, units in parentheses, section codes."""
-    numbers = F.regexp_extract_all(x, F.lit(r"(?<![A-Za-z0-9])(\d+(?:[.,]\d+)?)(?![A-Za-z0-9])"), 1)
+    numbers = F.regexp_extract_all(x, F.lit(r"(?U)(?<![A-Za-z0-9])(\d+(?:[.,]\d+)?)(?![A-Za-z0-9])"), 1)
     ranges = F.zip_with(F.regexp_extract_all(x, F.lit(_RANGE), 1), F.regexp_extract_all(x, F.lit(_RANGE), 2), lambda a, b: F.concat_ws("-", a, b))
     units = F.regexp_extract_all(x, F.lit(r"\(([A-Za-z%]{1,6})\)"), 1)
     sections = F.regexp_extract_all(x, F.lit(_SECTION), 1)

@@ -13,8 +13,10 @@ from termloom.functions import text as T
 from termloom.operators import domains as D
 from termloom.operators import evaluation as E
 from termloom.operators import relations as R
+from termloom.operators import vocabulary as V
 from termloom.operators.numbering import numbered
 from termloom.plans import catalog
+from termloom.plans import inputs as I
 
 
 def test_calibration_ranks_all_scores(spark):
@@ -99,3 +101,49 @@ def test_tertiles(spark, n):
     rows = spark.createDataFrame([(k, k % 2) for k in range(n)], "id long, score long")
     got = [r.tertile for r in E.tertiles(rows, "score", "id").orderBy("score", "id").collect()]
     assert got == ["low"] * (n // 3) + ["middle"] * (n // 3) + ["high"] * (n - 2 * (n // 3))
+
+
+def without_names_by_force(title, names):
+    """Each name in turn, longest first, is cut out wherever no word character touches it."""
+
+    def word(c):
+        return c.isalnum() or c == "_"
+
+    for name in sorted(set(names), key=lambda n: (-len(n), n)):
+        at, out = 0, ""
+        while at < len(title):
+            end = at + len(name)
+            whole = (at == 0 or not word(title[at - 1])) and (end >= len(title) or not word(title[end]))
+            if whole and title[at:end].lower() == name.lower():
+                at = end
+            else:
+                out, at = out + title[at], at + 1
+        title = out
+    return title
+
+
+def test_geography_leaves_titles(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    names = [r.n_name for r in I.table(spark, sf_dir, "nation").collect()] + ["of", "data from", "data"]
+    made = I.made_titles(spark, sf_dir)
+    want = {r.id: without_names_by_force(r.title, names) for r in made.collect()}
+    got = {r.id: r.title for r in V.without_geography(made, names).collect()}
+    assert got == want and len(got) == made.count()
+    assert sum(want[r.id] != r.title for r in made.collect()) == len(want)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Prices (EUR) 1,5 and 1.5; age 15-24", {"1.5", "15", "24", "15-24", "eur"}),
+        ("Output - B, C: D", {"b", "d"}),
+        ("B2B 3x 4", {"4"}),
+        ("C10-C12 (%)", {"c10-c12", "%"}),
+        ("years \u0663 (TOOLONG)", {"\u0663"}),
+        ("a-b-c abcd-e", {"a-b"}),
+        ("", set()),
+    ],
+)
+def test_signature(spark, text, want):
+    rows = spark.createDataFrame([(text,)], "x string")
+    assert rows.select(T.signature(F.col("x"))).first()[0] == sorted(want)
