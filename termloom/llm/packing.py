@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.staging import stage
-from termloom.llm.textblocks import blocks, lean, located_words
+from termloom.llm.textblocks import blocks, distinct, lean, located_words
 
 CAPACITY = 4096
 SHARD = 4096
@@ -123,14 +123,8 @@ class ChunkTokenizer:
 
     def block(self, body: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         """Ids of every text of a block."""
-        import pandas as pd
-
         h, begin, starts, ends = located_words(body, at, tails=_TAIL)
-        where, seen = pd.factorize(h)
-        order = np.argsort(seen)
-        seen, rank = seen[order], np.empty(len(seen), np.int64)
-        rank[order] = np.arange(len(seen))
-        where = rank[where]
+        where, seen, there = distinct(h)
         if len(self.hashes) > REMEMBERED:
             self.shrink(REMEMBERED // 2)
         number = np.searchsorted(self.hashes, seen)
@@ -139,8 +133,6 @@ class ChunkTokenizer:
         known[inside] = self.hashes[number[inside]] == seen[inside]
         miss = np.flatnonzero(~known)
         if len(miss):
-            there = np.zeros(len(seen), np.int64)
-            there[where[::-1]] = np.arange(len(h))[::-1]
             raw, of = body.tobytes(), there[miss]
             self._learn(seen[miss], [raw[a:b].lower().decode("utf-8", "replace") for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)])
             number = np.searchsorted(self.hashes, seen)

@@ -110,6 +110,17 @@ def located_words(body: np.ndarray, at: np.ndarray, fold: bool = True, tails: np
     return hashes, first, starts, ends
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which distinct hash each is, the distinct hashes in order, a place of each of them)."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(hashes), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, ordered[new], order[new]
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every k-word shingle in order, and where each text's begin.
 
