@@ -63,6 +63,29 @@ def test_variants_of_any_number_of_parentheses(spark):
         assert r.got == variants_by_force(r.v), r.v
 
 
+def test_variants_one_by_one():
+    rng = random.Random(3)
+    values = ["a", " a (b) ", "a (b (c) (d)) e (f)", "((((((a)))))) b", "(only)", "a ) ( b", "", " ", "(()())", "(a) (a)b", "(a)(a) (a)  (a)b ", "x (\u00e9)\u2003(z) \U0001f600", "a \u0001(b)\u0002 c"]
+    values += ["".join(rng.choice("aab ()() ") for _ in range(rng.randrange(18))) for _ in range(3000)]
+    for v in values:
+        assert list(V.variants_in_order(v)) == variants_by_force(v), v
+    assert list(V.variants_in_order("(" * 100_000)) == ["(" * 100_000]
+    assert next(V.variants_in_order("x" + " (w)" * 200)) == "x"
+
+
+def test_many_variants_in_rows(spark):
+    """A line of 18 parentheses has 262,144 variants, 100 MB of text; lists go on in further rows."""
+    wide = " ".join(f"{'w' * 20} ({k:02})" for k in range(18))
+    texts = [(1, "a (b) c"), (2, wide), (3, "(a) (b"), (4, None)]
+    rows = V.joined_variants(spark.createDataFrame(texts, "doc_id long, line string"), "line")
+    assert rows.columns == ["doc_id", "line", "variants"]
+    sizes = rows.filter("doc_id = 2").select(F.size(F.split("variants", r"\|")).alias("n"), F.length("variants").alias("size"), "line").collect()
+    assert sum(r.n for r in sizes) == 1 << 18 and len(sizes) > 50 and all(r.size <= V.PART and r.line == wide for r in sizes)
+    parts = [r.variants for r in V.joined_variants(spark.createDataFrame([(1, "(a) (b) (c) d")], "doc_id long, line string"), "line", 12).collect()]
+    assert len(parts) > 1 and "|".join(parts) == "|".join(variants_by_force("(a) (b) (c) d"))
+    assert {r.doc_id: r.variants for r in rows.filter("doc_id <> 2").collect()} == {1: "a (b) c|a c", 3: "(a) (b|(b", 4: ""}
+
+
 def test_sequence_ratio(spark):
     rng = random.Random(2)
     texts = ["", "a", "population by age", "population by sex and age", *("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(40))]
