@@ -498,6 +498,31 @@ def test_class_scores_by_force(spark, top):
     assert sorted(((r.doc_id, round(r.score, 4)) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def _many_words():
+    """14,000 words of two kinds in turn, more than were once clustered as words."""
+    rng = random.Random(11)
+    kinds = [[f"{x}{k}" for k in range(7000)] * 3 for x in "ab"]
+    for own in kinds:
+        rng.shuffle(own)
+    turns = [w for pair in zip(*kinds, strict=True) for w in pair]
+    return [(k, " ".join(turns[k * 100 : k * 100 + 100])) for k in range(420)] + [(1000, "a1 b1 unseen"), (1001, None)]
+
+
+def test_every_word_is_clustered(spark, monkeypatch):
+    """The same scores as with the classes that ``cluster`` finds on slots for all words, over several blocks and buckets."""
+    docs = table(spark, _many_words())
+    want = {r.doc_id: r for r in class_lm.score_documents(docs, top=50_000).collect()}
+    few = class_lm.score_documents(docs, top=12_288).agg(F.sum("score")).first()[0]
+    for name, size in (("BUCKETS", 2), ("BUCKET_WORDS", 10_000), ("AT_ONCE", 500), ("BLOCK_BYTES", 60_000)):
+        monkeypatch.setattr(class_lm, name, size)
+    got = class_lm.score_documents(docs).collect()
+    assert len(got) == len(want) == 422
+    for r in got:
+        w = want[r.doc_id]
+        assert r[:5] == w[:5] and abs(r.base_score - w.base_score) < 1e-6 and abs(r.score - w.score) < 1e-6
+    assert sum(r.score for r in got) > few + 100
+
+
 def test_class_model_sums_to_one(spark, monkeypatch):
     """Probabilities of all words after any word, and of an unseen one per class, sum to one."""
     rows = [(k, "a b a c" if k % 2 else "x y x z") for k in range(40)]
