@@ -86,6 +86,12 @@ def test_many_variants_in_rows(spark):
     assert {r.doc_id: r.variants for r in rows.filter("doc_id <> 2").collect()} == {1: "a (b) c|a c", 3: "(a) (b|(b", 4: ""}
 
 
+def test_variants_read_row_groups_by_parts(spark):
+    """A file of one row group is not held a second time outside the heap, as a vectored read does."""
+    plan = catalog.QUERIES["paren_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed()
+    assert plan.collectLeaves().head().relation().options().get("parquet.hadoop.vectored.io.enabled").get() == "false"
+
+
 def test_sequence_ratio(spark):
     rng = random.Random(2)
     texts = ["", "a", "population by age", "population by sex and age", *("".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(40))]
