@@ -86,6 +86,41 @@ def test_many_variants_in_rows(spark):
     assert {r.doc_id: r.variants for r in rows.filter("doc_id <> 2").collect()} == {1: "a (b) c|a c", 3: "(a) (b|(b", 4: ""}
 
 
+def test_variants_are_dealt_out():
+    """Lists of any length are cut into shares between bounds, whose lists make the whole one."""
+    rng = random.Random(4)
+    values = ["", " ", "a", "(a) (a)b", "x" + " (w)" * 14, *("".join(rng.choice("aab ()() ") for _ in range(rng.randrange(24))) for _ in range(600))]
+    for v in values:
+        want = list(V.variants_in_order(v))
+        bounds = sorted({v[: rng.randrange(len(v) + 1)] for _ in range(3)} | {w for w in want if rng.random() < 0.2} - {""})
+        if v.strip():
+            cuts = [*dict.fromkeys(["", *bounds])]
+            parts = [list(V.variants_in_order(v, a, b)) for a, b in zip(cuts, [*cuts[1:], None], strict=True)]
+            assert [x for p in parts for x in p] == want, (v, cuts)
+    wide = " ".join(f"{'w' * 20} ({k:02})" for k in range(17))
+    shares = V.variant_shares(wide)
+    sizes = [sum(1 for _ in V.variants_in_order(wide, *s)) for s in shares]
+    assert len(sizes) > 4 and sum(sizes) == 1 << 17 and max(sizes) <= V.SHARE
+    assert shares[0][0] == "" and shares[-1][1] is None and all(a[1] == b[0] for a, b in itertools.pairwise(shares))
+    assert 1000 < len(V.variant_shares("x (w)" * 200)) < 10_000
+
+
+def test_long_lists_are_made_by_many_tasks(spark):
+    """Not by the one that reads the line: a list doubles with every parenthesis."""
+    wide = " ".join(f"w{k} ({k:02})" for k in range(17))
+    rows = V.joined_variants(spark.createDataFrame([(1, wide)], "doc_id long, line string").coalesce(1), "line")
+    by_task = rows.groupBy(F.spark_partition_id()).agg(F.sum(F.size(F.split("variants", r"\|"))).alias("n")).collect()
+    assert len(by_task) == 4 and sum(r.n for r in by_task) == 1 << 17 and max(r.n for r in by_task) < 1 << 16
+
+
+def test_variants_share_their_ends():
+    """2^18 variants are listed from common ends: no more than some places of the value are followed."""
+    ways = V._Ways(" ".join(f"{'w' * 20} ({k:02})" for k in range(18)))
+    followed, below = [], ways.below
+    ways.below = lambda text, at: followed.append(at) or below(text, at)
+    assert sum(1 for _ in ways.listed("", None)) == 1 << 18 and len(followed) < 10_000
+
+
 def test_variants_read_row_groups_by_parts(spark):
     """A file of one row group is not held a second time outside the heap, as a vectored read does."""
     plan = catalog.QUERIES["paren_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed()
